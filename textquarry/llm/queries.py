@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding
+from textquarry.llm import encoding, shape
 from textquarry.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,17 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The damaged documents with their text put right."""
     return encoding.repair_texts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text").filter("damaged").withColumnRenamed("rec_id", "doc_id").drop("damaged")
+
+
+# ---- 4: shape ----------------------------------------------------------------------------------------
+
+
+@query
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = shape.shapes(documents(spark, sf_dir, "doc_id", "text"))
+    return kinds.filter("kind <> 'prose'").select("doc_id", "kind").distinct()
+
+
+@query
+def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shape.text_statistics(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", *(F.round(c, 6).alias(c) for c in shape.STATS))
