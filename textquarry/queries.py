@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.runtime import table
+from textquarry.functions.identity import account_key, page_key
+from textquarry.operators.grouping import group_splits, tied_groups
+from textquarry.runtime import materialize, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -38,3 +40,22 @@ w as (select *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from f wh
 select lang, count(*) as docs, cast(sum(length(text)) as bigint) as chars, round(avg(len(w)), 6) as mean_words from w
 where len(list_filter(w, lambda x: x in ('hate','racist','sexist','offensive','discrimination','violence','threat','harassment','bullying','abuse'))) <= 0.3 * len(w)
 group by lang"""
+
+
+# ---- 5: groups of posts and splits that keep them together -------------------------------------------
+
+
+def _post_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "posts").select("post_id", "author", "source")
+    return tied_groups(posts, "post_id", [account_key(F.col("author")), page_key(F.col("source"))])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _post_groups(spark, sf_dir).filter("group_size > 1").select(F.col("rec_id").alias("post_id"), "group_id")
+
+
+@query
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = materialize(_post_groups(spark, sf_dir))
+    return group_splits(groups, {"train": 0.8, "validation": 0.1, "test": 0.1}).withColumnRenamed("rec_id", "post_id")
