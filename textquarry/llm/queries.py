@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, shape
+from textquarry.llm import encoding, language, shape
 from textquarry.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,3 +53,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.text_statistics(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", *(F.round(c, 6).alias(c) for c in shape.STATS))
+
+
+# ---- 6: language -------------------------------------------------------------------------------------
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.fit_model(docs, "text", "lang")
+    found = language.document_languages(docs, model, label_col="lang")
+    return found.filter("kind in ('prose', 'list')").select("doc_id", "lang").distinct()
+
+
+@query
+def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every run of sentences of one language in every document, with its words and confidence."""
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return language.segments(docs, language.fit_model(docs, "text", "lang")).withColumn("confidence", F.round("confidence", 6))
