@@ -32,6 +32,8 @@ ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßÀÁÂÃÄ
 LOST = "�"
 _DASH = set("–—…•·«»-→−×≥≤≠€©®™")
 _SUSPECT = re.compile("[\u0080-\u009f¡-¿À-ɏͰ-ӿ‐-⯿ﬁﬂ�]")
+#: What every word garbled between single-byte encodings has somewhere: letters that no sound word joins.
+_MAYBE_SINGLE = re.compile("[\u0080-\u009fÀ-ÿ]{3}|[а-яё][А-ЯЁ]|[А-Яа-яЁё][│┐└┴┬├─┼╒ё╓-╬]|[│┐└┴┬├─┼╒-╬][А-Яа-яЁё]|[†‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]{3}")
 _RUNS = re.compile(r"(?<![^\W\d_])(?:[А-Яа-яЁё│┐└┴┬├─┼▀▄█▌▐░▒▓⌠■∙√≈≤≥⌡°²·÷═║╒ё╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡Ё╢╣╤╥╦╧╨╩╪╫╬©]+|[\u0080-ÿ]+|[À-ÿŒœŸ†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…ÀÃÕ–—“”‘’÷◊⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]+)(?![^\W\d_])")
 
 
@@ -218,7 +220,8 @@ def repair(text: str | None) -> tuple[bool, str | None, int, str, int]:
     if text is None or text.isascii() or not _SUSPECT.search(text):
         return False, text, 0, "", 0
     spans = _spans(text)
-    spans += _single_byte(text, [(s, e) for s, e, _, _ in spans])
+    if _MAYBE_SINGLE.search(text):
+        spans += _single_byte(text, [(s, e) for s, e, _, _ in spans])
     if not spans and _ANY_CYRILLIC.search(text) and _MIXED.search(text):
         spans = _mixed(text)
     lost = [m.start() for m in re.finditer(LOST, text)]

@@ -45,6 +45,7 @@ LEAST_SHARE = 0.2
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _DROP = re.compile(r"```.*?(?:```|$)|<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|&(?:amp;)?lt;/?[A-Za-z][^<>]{0,200}?&(?:amp;)?gt;|&#?\w{2,8};|https?://\S+|\S+@\S+|\$\$.*?\$\$|\$[^$\n]{1,120}\$|\\(?:begin|end)\{[^}]*\}|\\[A-Za-z]+\*?|\{\{[a-z]+\b|\{\|[^\n]*|\[\[[A-Z]\w+:", re.S)
+_MARKED = re.compile(r"[<&`$\\\\{\[@]|://")
 _CUT = re.compile(r"[.!?…]+(?=[\s\"”»)\]*']|$)|[\r\n]+|;\s|\t+|\|+")
 
 
@@ -60,11 +61,9 @@ def language_of_label(label: Column) -> Column:
 
 def sentences(text: str) -> list[list[str]]:
     """Words of each sentence, line or cell; markup, code, formulas and addresses are left out."""
-    out = []
-    for piece in _CUT.split(_DROP.sub(" ", text)):
-        if piece and (ws := _WORD.findall(piece)):
-            out.append(ws)
-    return out
+    if _MARKED.search(text):
+        text = _DROP.sub(" ", text)
+    return [ws for piece in _CUT.split(text) if piece and (ws := _WORD.findall(piece))]
 
 
 def slots(word: str) -> np.ndarray:
@@ -106,8 +105,12 @@ class LanguageModel:
             return np.zeros((0, len(LANGUAGES)), dtype=np.float32)
         if len(self._row) + sum(map(len, sents)) > 400_000:
             self._row.clear()
-        row = self.row
-        rows = np.array([row(w) for s in sents for w in s])
+        get = self._row.get
+        rows = [get(w) for s in sents for w in s]
+        if None in rows:
+            row = self.row
+            rows = [row(w) for s in sents for w in s]
+        rows = np.array(rows)
         at = np.concatenate([[0], np.cumsum([len(s) for s in sents])[:-1]])
         raw = np.add.reduceat(self._table[rows], at) / np.sqrt(np.add.reduceat(self._size[rows], at))[:, None] + self.bias
         names = list(FAMILIES)
@@ -188,45 +191,43 @@ def fit_model(df: DataFrame, text_col: str, label_col: str, seed: int = 7) -> La
     return train(used, seed=seed)
 
 
-def assign(model: LanguageModel, texts: list[str | None]) -> list[list[tuple[str, int, float]]]:
-    """For each text its sentences' (language, words, confidence); empty for null, blank or wordless texts."""
-    per = [sentences(repair(t)[1]) if t and not t.isspace() else [] for t in texts]
-    flat = [s for doc in per for s in doc]
-    scores = model.scores(flat)
-    words = np.array([len(s) for s in flat])
-    out, at = [], 0
-    for doc in per:
-        n = len(doc)
-        s, k = scores[at : at + n], words[at : at + n]
-        at += n
-        if not n:
-            out.append([])
-            continue
-        first = s.argmax(1)
-        share = np.bincount(first, weights=k * (k >= 4), minlength=len(LANGUAGES)) + 0.1 * np.bincount(first, weights=k, minlength=len(LANGUAGES))
-        share /= share.sum()
-        # what the whole document speaks weighs on its short sentences
-        near = s + share * np.minimum(8.0, 30.0 / k)[:, None]
-        top = near.argmax(1)
-        two = np.partition(near, -2, axis=1)
-        margin = two[:, -1] - two[:, -2]
-        lead = int(share.argmax())
-        doubt = (margin < 0.8) & (share[lead] > 0.55)  # an unsure sentence goes with the rest
-        top = np.where(doubt, lead, top)
-        conf = 1 / (1 + np.exp(-1.5 * margin))
-        out.append([(LANGUAGES[i], int(m), float(c)) for i, m, c in zip(top, k, conf, strict=True)])
-    return out
+class Judged:
+    """Sentences of a batch of texts: of which text, in which language, of how many words, how surely."""
 
+    def __init__(self, of: np.ndarray, lang: np.ndarray, words: np.ndarray, confidence: np.ndarray, texts: int):
+        self.of, self.lang, self.words, self.confidence = of, lang, words, confidence
+        n = len(LANGUAGES)
+        self.by = np.bincount(of * n + lang, weights=words, minlength=texts * n).reshape(texts, n)
+        self.sure = np.bincount(of * n + lang, weights=words * confidence, minlength=texts * n).reshape(texts, n)
+        self.total = self.by.sum(1)
 
-def shares(sents: list[tuple[str, int, float]]) -> dict[str, tuple[float, float]]:
-    """language -> (share of the words, mean confidence), largest first."""
-    total = sum(n for _, n, _ in sents)
-    by: dict[str, list[float]] = {}
-    for lang, n, c in sents:
-        b = by.setdefault(lang, [0.0, 0.0])
-        b[0] += n
-        b[1] += n * c
-    return {x: (n / total, c / n) for x, (n, c) in sorted(by.items(), key=lambda kv: (-kv[1][0], kv[0]))}
+    def shares(self, i: int) -> dict[str, tuple[float, float]]:
+        """language -> (share of the words, mean confidence) of text i, where it is LEAST_SHARE or more."""
+        total = self.total[i]
+        return {LANGUAGES[k]: (float(self.by[i, k] / total), float(self.sure[i, k] / self.by[i, k])) for k in np.flatnonzero(self.by[i] >= LEAST_SHARE * total)} if total else {}
+
+
+def judge(model: LanguageModel, texts: list[str | None]) -> Judged:
+    """The sentences of each text; none for null, blank or wordless texts."""
+    per = [sentences(t if t.isascii() else repair(t)[1]) if t and not t.isspace() else [] for t in texts]
+    flat = [s for doc in per for s in doc]
+    of = np.repeat(np.arange(len(texts)), [len(doc) for doc in per])
+    k = np.array([len(s) for s in flat], dtype=np.int64)
+    if not flat:
+        return Judged(of, k, k, k.astype(float), len(texts))
+    n = len(LANGUAGES)
+    s = model.scores(flat)
+    first = s.argmax(1)
+    share = np.bincount(of * n + first, weights=k * np.where(k >= 4, 1.1, 0.1), minlength=len(texts) * n).reshape(-1, n)
+    share = (share / np.maximum(share.sum(1, keepdims=True), 1e-9)).astype(np.float32)
+    own = share[of]
+    near = s + own * np.minimum(8.0, 30.0 / k).astype(np.float32)[:, None]  # what the whole document speaks weighs on its short sentences
+    top = near.argmax(1)
+    two = np.partition(near, -2, axis=1)
+    margin = two[:, -1] - two[:, -2]
+    lead = own.argmax(1)
+    top = np.where((margin < 0.8) & (own[np.arange(len(k)), lead] > 0.55), lead, top)  # an unsure sentence goes with the rest
+    return Judged(of, top, k, 1 / (1 + np.exp(-1.5 * margin)), len(texts))
 
 
 _SHARES = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("share", pa.float64()), ("confidence", pa.float64()), ("kind", pa.string())])
@@ -249,10 +250,11 @@ def document_languages(df: DataFrame, model: LanguageModel, id_col: str = "doc_i
             labels = [None] * len(texts)
             if label_col:
                 labels, texts = [t.split("\x1f", 1)[0] if t else None for t in texts], [t.split("\x1f", 1)[1] if t else None for t in texts]
-            for i, text, label, sents in zip(ids, texts, labels, assign(m, texts), strict=True):
-                if not sents:
+            judged = judge(m, texts)
+            for j, (i, text, label) in enumerate(zip(ids, texts, labels, strict=True)):
+                found = judged.shares(j)
+                if not found:
                     continue
-                found = {x: v for x, v in shares(sents).items() if v[0] >= LEAST_SHARE}
                 case = label_col and (len(found) > 1 or label not in found)
                 kind = kind_of(text) if case and found else None
                 for lang, (share, conf) in found.items():
@@ -280,11 +282,12 @@ def segments(df: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_c
 
         def f(ids: list, texts: list) -> dict:
             out: dict[str, list] = {n: [] for n in _SEGMENTS.names}
-            for i, sents in zip(ids, assign(m, texts), strict=True):
-                for j, (lang, run) in enumerate(groupby(sents, key=lambda s: s[0])):
-                    own = list(run)
-                    n = sum(k for _, k, _ in own)
-                    for name, v in zip(_SEGMENTS.names, (i, j, lang, n, sum(k * c for _, k, c in own) / n), strict=True):
+            b = judge(m, texts)
+            for of, own in groupby(zip(b.of.tolist(), b.lang.tolist(), b.words.tolist(), b.confidence.tolist(), strict=True), key=lambda s: s[0]):
+                for j, (lang, run) in enumerate(groupby(own, key=lambda s: s[1])):
+                    run = list(run)
+                    n = sum(k for _, _, k, _ in run)
+                    for name, v in zip(_SEGMENTS.names, (ids[of], j, LANGUAGES[lang], n, sum(k * c for _, _, k, c in run) / n), strict=True):
                         out[name].append(v)
             return out
 
