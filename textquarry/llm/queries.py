@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, language, shape
+from textquarry.llm import encoding, language, leaks, reading, shape
 from textquarry.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,3 +71,43 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every run of sentences of one language in every document, with its words and confidence."""
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     return language.segments(docs, language.fit_model(docs, "text", "lang")).withColumn("confidence", F.round("confidence", 6))
+
+
+# ---- 7: reading level --------------------------------------------------------------------------------
+
+
+def _reading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    model = language.fit_model(docs, "text", "lang")
+    papers = spread(table(spark, sf_dir, "papers"), "paper_id", "summary")
+    of_docs = reading.reading_levels(docs, model, "doc_id", "text").select(F.lit("documents").alias("tab"), "*")
+    return of_docs.unionByName(reading.reading_levels(papers, model, "paper_id", "summary").select(F.lit("papers").alias("tab"), "*"))
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    levels = _reading_levels(spark, sf_dir)
+    return levels.filter("english and running and sentences > 1 and band <> 'middle'").select("tab", "rec_id", "band").distinct()
+
+
+@query
+def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """English texts of both tables by whole grade."""
+    levels = _reading_levels(spark, sf_dir).filter("english").withColumn("grade", F.floor("grade").cast("long"))
+    return levels.groupBy("tab", "grade").agg(F.count("*").alias("texts"), F.sum("words").alias("words"))
+
+
+# ---- 8: leaked evaluation items ----------------------------------------------------------------------
+
+
+@query
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaked_items(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id").distinct()
+
+
+@query
+def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every item that leaked: documents that hold it and the largest share of it found."""
+    found = leaks.leaked_items(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.round(F.max("share"), 6).alias("most"))
