@@ -32,8 +32,10 @@ ACCENTED = "àáâãäåæçèéêëìíîïñòóôõöøùúûüýßÀÁÂÃÄ
 LOST = "�"
 _DASH = set("–—…•·«»-→−×≥≤≠€©®™")
 _SUSPECT = re.compile("[\u0080-\u009f¡-¿À-ɏͰ-ӿ‐-⯿ﬁﬂ�]")
-#: What every word garbled between single-byte encodings has somewhere: letters that no sound word joins.
-_MAYBE_SINGLE = re.compile("[\u0080-\u009fÀ-ÿ]{3}|[а-яё][А-ЯЁ]|[А-Яа-яЁё][│┐└┴┬├─┼╒ё╓-╬]|[│┐└┴┬├─┼╒-╬][А-Яа-яЁё]|[†‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]{3}")
+#: What words garbled between single-byte encodings have somewhere: letters that no sound word joins.
+_THREE = re.compile("[\u0080-\u009fÀ-ÿ]{3}")
+_SWAPPED = re.compile("[а-яё][А-ЯЁ]|[А-Яа-яЁё][│┐└┴┬├─┼╒ё╓-╬]|[│┐└┴┬├─┼╒-╬][А-Яа-яЁё]")
+_MAC = re.compile("[†‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]{3}")
 _RUNS = re.compile(r"(?<![^\W\d_])(?:[А-Яа-яЁё│┐└┴┬├─┼▀▄█▌▐░▒▓⌠■∙√≈≤≥⌡°²·÷═║╒ё╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡Ё╢╣╤╥╦╧╨╩╪╫╬©]+|[\u0080-ÿ]+|[À-ÿŒœŸ†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…ÀÃÕ–—“”‘’÷◊⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]+)(?![^\W\d_])")
 
 
@@ -74,6 +76,14 @@ def automaton() -> ahocorasick.Automaton:
     return a
 
 
+@lru_cache(maxsize=1)
+def _leads() -> re.Pattern:
+    """The first two characters of any garbled sequence."""
+    words = list(automaton().keys())
+    first, second = ("".join(sorted({re.escape(w[k]) for w in words if len(w) > 1})) for k in (0, 1))
+    return re.compile(f"[{first}][{second}]")
+
+
 @lru_cache(maxsize=1)
 def pair_automaton() -> ahocorasick.Automaton:
     """Garbled letter pair -> indices into SINGLE; the pair itself -> -1."""
@@ -219,10 +229,11 @@ def repair(text: str | None) -> tuple[bool, str | None, int, str, int]:
     """
     if text is None or text.isascii() or not _SUSPECT.search(text):
         return False, text, 0, "", 0
-    spans = _spans(text)
-    if _MAYBE_SINGLE.search(text):
+    spans = _spans(text) if _leads().search(text) else []
+    cyrillic = _ANY_CYRILLIC.search(text)
+    if _THREE.search(text) or (cyrillic and _SWAPPED.search(text)) or _MAC.search(text):
         spans += _single_byte(text, [(s, e) for s, e, _, _ in spans])
-    if not spans and _ANY_CYRILLIC.search(text) and _MIXED.search(text):
+    if not spans and cyrillic and _MIXED.search(text):
         spans = _mixed(text)
     lost = [m.start() for m in re.finditer(LOST, text)]
     sure = [x for x in spans if not _quoted(text, x[0], x[1], x[3])]

@@ -46,7 +46,7 @@ LEAST_SHARE = 0.2
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _DROP = re.compile(r"```.*?(?:```|$)|<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|&(?:amp;)?lt;/?[A-Za-z][^<>]{0,200}?&(?:amp;)?gt;|&#?\w{2,8};|https?://\S+|\S+@\S+|\$\$.*?\$\$|\$[^$\n]{1,120}\$|\\(?:begin|end)\{[^}]*\}|\\[A-Za-z]+\*?|\{\{[a-z]+\b|\{\|[^\n]*|\[\[[A-Z]\w+:", re.S)
 _MARKED = re.compile(r"[<&`$\\\\{\[@]|://")
-_CUT = re.compile(r"[.!?…]+(?=[\s\"”»)\]*']|$)|[\r\n]+|;\s|\t+|\|+")
+_ENDS = ("!", "?", "…", "\t", "|", "\r", ";", ". ", ".\n", '."', ".”")
 
 
 def language_of_label(label: Column) -> Column:
@@ -63,7 +63,12 @@ def sentences(text: str) -> list[list[str]]:
     """Words of each sentence, line or cell; markup, code, formulas and addresses are left out."""
     if _MARKED.search(text):
         text = _DROP.sub(" ", text)
-    return [ws for piece in _CUT.split(text) if piece and (ws := _WORD.findall(piece))]
+    # a full stop ends a sentence before a blank or a closing quote; the other marks always do
+    for end in _ENDS:
+        if end in text:
+            text = text.replace(end, "\n")
+    find = _WORD.findall
+    return [ws for piece in text.split("\n") if piece and (ws := find(piece))]
 
 
 def slots(word: str) -> np.ndarray:

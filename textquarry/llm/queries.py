@@ -76,24 +76,24 @@ def p6_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- 7: reading level --------------------------------------------------------------------------------
 
 
-def _reading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _reading_levels(spark: SparkSession, sf_dir: str, *bands: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language.fit_model(docs, "text", "lang")
     papers = spread(table(spark, sf_dir, "papers"), "paper_id", "summary")
-    of_docs = reading.reading_levels(docs, model, "doc_id", "text").select(F.lit("documents").alias("tab"), "*")
-    return of_docs.unionByName(reading.reading_levels(papers, model, "paper_id", "summary").select(F.lit("papers").alias("tab"), "*"))
+    of_docs = reading.reading_levels(docs, model, "doc_id", "text", bands).select(F.lit("documents").alias("tab"), "*")
+    return of_docs.unionByName(reading.reading_levels(papers, model, "paper_id", "summary", bands).select(F.lit("papers").alias("tab"), "*"))
 
 
 @query
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    levels = _reading_levels(spark, sf_dir)
-    return levels.filter("english and running and sentences > 1 and band <> 'middle'").select("tab", "rec_id", "band").distinct()
+    levels = _reading_levels(spark, sf_dir, "basic", "advanced")
+    return levels.filter("english and running and sentences > 1").select("tab", "rec_id", "band").distinct()
 
 
 @query
 def p7_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English texts of both tables by whole grade."""
-    levels = _reading_levels(spark, sf_dir).filter("english").withColumn("grade", F.floor("grade").cast("long"))
+    levels = _reading_levels(spark, sf_dir, "basic", "middle", "advanced").filter("english").withColumn("grade", F.floor("grade").cast("long"))
     return levels.groupBy("tab", "grade").agg(F.count("*").alias("texts"), F.sum("words").alias("words"))
 
 

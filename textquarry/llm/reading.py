@@ -67,9 +67,12 @@ def syllables(word: str) -> int:
 
 
 _TERMINAL = re.compile(r"[.!?…]+(?=[\s\"”'’»)\]]|$)")
-_ABBREVIATED = re.compile(r"\b(?:cf|e\.g|i\.e|etc|vs|Dr|Mr|Mrs|Ms|Prof|No|Fig|al|approx|St)\.", re.I)
+_ABBREVIATIONS = ("cf.", "e.g.", "i.e.", "etc.", "vs.", "Dr.", "Mr.", "Mrs.", "Ms.", "Prof.", "Fig.", "approx.", "St.")
 _CLAUSE = re.compile(r"[,;:]\s+(?:and|but|so|or|then|yet)\s+(?:then\s+)?|;\s+")
 _PARAGRAPH = re.compile(r"\n\s*\n|</?(?:p|div|h[1-6]|li|td|tr|br)\b[^<>]*>|&lt;/?(?:p|div|h[1-6]|li|td|tr)\b.*?&gt;", re.I)
+_BLANK_LINE = re.compile(r"\n\s*\n")
+#: Words of which English running text has some.
+_SOME_ENGLISH = re.compile(r"\b(?:the|of|and|was|you|with|some|not|did|has|had|can|it|is|for)\b", re.I)
 _HEADING = re.compile(r"^\s*(?:#{1,6}\s|={2,}|'''|\\(?:sub)*section|[-*•–]\s|\d+[.)]\s)")
 _ENGLISH = frozenset(COMMON["en"].split())
 
@@ -79,42 +82,61 @@ def running_sentences(text: str) -> list[list[str]]:
 
     Where the text has hardly any end marks, each line is a sentence.
     """
-    plain = _ABBREVIATED.sub(lambda m: m.group().replace(".", ""), text)
-    plain = _CLAUSE.sub(". ", plain)  # independent clauses count as sentences, as the older formulas ask
-    rough = len(re.findall(r"\S+", plain))
-    if len(_TERMINAL.findall(plain)) * 60 < rough and "\n" in plain.strip():
-        lines = [language._WORD.findall(ln) for ln in language._DROP.sub(" ", plain).splitlines()]
+    find = language._WORD.findall
+    for x in _ABBREVIATIONS:
+        if x in text:
+            text = text.replace(" " + x, " " + x.replace(".", "")).replace("(" + x, "(" + x.replace(".", ""))
+    text = _CLAUSE.sub(". ", text)  # independent clauses count as sentences, as the older formulas ask
+    marked = bool(language._MARKED.search(text))
+    if (text.count(". ") + text.count("?") + text.count("!") + text.count(".\n") + 1) * 60 < text.count(" ") and "\n" in text.strip():
+        lines = [find(ln) for ln in (language._DROP.sub(" ", text) if marked else text).splitlines()]
         return [ws for ws in lines if len(ws) >= 3]
     out = []
-    for paragraph in _PARAGRAPH.split(plain):
-        if not paragraph or not _TERMINAL.search(paragraph[-6000:]):
+    for paragraph in _PARAGRAPH.split(text) if marked else _BLANK_LINE.split(text):
+        if not paragraph or not _TERMINAL.search(paragraph):
             continue
-        body = language._DROP.sub(" ", paragraph)
-        if _HEADING.match(body):
-            first, _, rest = body.partition("\n")
-            body = rest if len(first) < 120 and not _TERMINAL.search(first.strip("*_' ")) and rest else body
-        for s in _TERMINAL.split(body):
-            ws = language._WORD.findall(s)
+        if marked:
+            paragraph = language._DROP.sub(" ", paragraph)
+        if _HEADING.match(paragraph):
+            first, _, rest = paragraph.partition("\n")
+            paragraph = rest if len(first) < 120 and not _TERMINAL.search(first.strip("*_' ")) and rest else paragraph
+        for s in _TERMINAL.split(paragraph):
+            ws = find(s)
             if len(ws) > 1:
                 out.append(ws)
     return out
 
 
+class _Syllables(dict):
+    """Syllables by word as written; bounded."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        n = self[word] = syllables(word)
+        return n
+
+
+_COUNTED = _Syllables()
+
+
 def grades(sents: list[list[str]]) -> tuple[float, ...]:
     """Grade estimates of Flesch-Kincaid, SMOG, ARI, Coleman-Liau, FORCAST, and of LIX put on the scale of grades."""
     words = [w for s in sents for w in s]
     n, k = len(words), len(sents)
-    syl = [syllables(w) for w in words]
-    letters = sum(map(len, words))
-    many = sum(x >= 3 for x in syl)
-    long = sum(len(w) > 6 for w in words)
+    syl = list(map(_COUNTED.__getitem__, words))
+    sizes = list(map(len, words))
+    letters = sum(sizes)
+    one = syl.count(1)
+    many = n - one - syl.count(2)
+    long = sum(x > 6 for x in sizes)
     per = n / k
     return (
         0.39 * per + 11.8 * sum(syl) / n - 15.59,
         1.0430 * math.sqrt(many * 30 / k) + 3.1291,
         4.71 * letters / n + 0.5 * per - 21.43,
-        0.0588 * 100 * letters / n - 0.296 * 100 * k / n - 15.8,
-        20 - 15 * sum(x == 1 for x in syl) / n,
+        5.88 * letters / n - 29.6 * k / n - 15.8,
+        20 - 15 * one / n,
         (per + 100 * long / n) / 4 - 3.5,
     )
 
@@ -142,9 +164,10 @@ def band_of(grade: float) -> str:
 _OUT = pa.schema([("rec_id", pa.int64()), ("grade", pa.float64()), ("sentences", pa.int64()), ("words", pa.int64()), ("band", pa.string()), ("english", pa.bool_()), ("running", pa.bool_())])
 
 
-def reading_levels(df: DataFrame, model: language.LanguageModel, id_col: str, text_col: str) -> DataFrame:
+def reading_levels(df: DataFrame, model: language.LanguageModel, id_col: str, text_col: str, bands: tuple[str, ...] = ("basic", "middle", "advanced")) -> DataFrame:
     """rec_id, grade, sentences, words, band, english (the only language), running (prose, by its own words).
 
+    Only rows of the named bands come out, and none for texts without a single common word of English.
     Null, blank and wordless texts give no row; repeated rows repeat; other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -156,7 +179,7 @@ def reading_levels(df: DataFrame, model: language.LanguageModel, id_col: str, te
             out: dict[str, list] = {n: [] for n in _OUT.names}
             rows = []
             for i, t in zip(ids, texts, strict=True):
-                if r := reading_level(t):
+                if t and _SOME_ENGLISH.search(t) and (r := reading_level(t)) and band_of(r[0]) in bands:
                     rows.append((i, t, r))
             judged = language.judge(m, [t for _, t, _ in rows])
             for j, (i, t, (grade, k, n)) in enumerate(rows):
