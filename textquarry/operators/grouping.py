@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textquarry.operators.ranking import seeded_rank
 from textquarry.runtime import materialize
 
 #: Links that one task may hold when forests are merged.
@@ -196,11 +197,7 @@ def group_splits(groups: DataFrame, shares: dict[str, float], seed: int = 42) ->
     histogram = [(r.group_size, r.n) for r in each.groupBy("group_size").agg(F.count("*").alias("n")).collect()]
     rows = [(size, *np.cumsum(got).tolist()) for size, got in greedy_allocation(histogram, list(shares.values())).items()]
     until = spark.createDataFrame(rows, "group_size long, " + ", ".join(f"_u{i} long" for i in range(len(names))))
-    each = each.withColumn("_h", F.xxhash64(F.lit(seed), "group_id")).withColumn("_b", F.shiftrightunsigned("_h", 52))
-    per = each.groupBy("group_size", "_b").agg(F.count("*").alias("_n"))  # rank in two steps: no task orders all groups of one size
-    per = per.withColumn("_before", F.sum("_n").over(Window.partitionBy("group_size").orderBy("_b")) - F.col("_n"))
-    within = F.row_number().over(Window.partitionBy("group_size", "_b").orderBy("_h", "group_id"))
-    ranked = each.withColumn("_rn", within).join(per, ["group_size", "_b"]).withColumn("_rank", F.col("_before") + F.col("_rn")).join(F.broadcast(until), "group_size")
+    ranked = seeded_rank(each, ["group_size"], "group_id", seed).join(F.broadcast(until), "group_size")
     split = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
         split = F.when(F.col("_rank") <= F.col(f"_u{i}"), F.lit(names[i])).otherwise(split)
