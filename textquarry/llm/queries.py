@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, language, leaks, reading, shape
+from textquarry.llm import encoding, language, leaks, mixing, reading, shape, tokens
 from textquarry.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,30 @@ def p8_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For every item that leaked: documents that hold it and the largest share of it found."""
     found = leaks.leaked_items(documents(spark, sf_dir, "doc_id", "text"), table(spark, sf_dir, "benchmark"))
     return found.groupBy("item_id").agg(F.count_distinct("doc_id").alias("docs"), F.round(F.max("share"), 6).alias("most"))
+
+
+# ---- 2: token budget ---------------------------------------------------------------------------------
+
+
+@query
+def p2_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.budget(documents(spark, sf_dir, "source", "lang", "topic", "format", "text"))
+
+
+@query
+def p2_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(documents(spark, sf_dir, "doc_id", "text"))
+
+
+# ---- 9: mixing sources -------------------------------------------------------------------------------
+
+
+@query
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"), table(spark, sf_dir, "mix_targets"))
+
+
+@query
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    targets = table(spark, sf_dir, "mix_targets")
+    return mixing.reached_shares(mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"), targets), targets)
