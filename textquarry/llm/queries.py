@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, language, leaks, mixing, reading, shape, tokens
+from textquarry.llm import encoding, language, leaks, mixing, reading, shape, tokens, truncation
 from textquarry.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -138,3 +138,16 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     targets = table(spark, sf_dir, "mix_targets")
     return mixing.reached_shares(mixing.mix(documents(spark, sf_dir, "doc_id", "source", "text"), targets), targets)
+
+
+# ---- 10: truncated texts -----------------------------------------------------------------------------
+
+
+@query
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.truncated(documents(spark, sf_dir, "doc_id", "text", "source")).select("doc_id").distinct()
+
+
+@query
+def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return truncation.rates(documents(spark, sf_dir, "doc_id", "text", "source"))
