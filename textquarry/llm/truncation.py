@@ -21,6 +21,8 @@ FREQUENT = 3
 RARELY_ENDS = 0.1
 #: Texts of exactly one length that make it a field limit of their source, as a count and as a share.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.04
+#: Characters from the end in which markup after the last words is cleared.
+ENDING = 4000
 
 _TOKEN = r"[\\p{L}\\p{N}]+(?:[\\x27’-][\\p{L}\\p{N}]+)*|[.!?\\n]"
 _MARKS = "('.', '!', '?', '\\n')"
@@ -54,7 +56,14 @@ def _cleaned(column: str) -> str:
     return out
 
 
+#: Texts whose end, as it stands, is no end of a sentence.
+OPEN_ENDED = r"""
+select doc_id, source, length(text) as chars, octet_length(text) as bytes, text from {docs}
+where text is not null and (right(text, 60) rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' or not right(text, 60) rlike '[.!?](?:â€.?)?[^\\p{L}\\p{N}]*$')
+"""
+
 #: The last words of texts that stop without an end mark, or with the dots that some writers of fields put after a cut.
+#: Only the end of a text is looked at; a sentence is shorter than ENDING characters.
 FINALS = rf"""
 select doc_id, source, chars, bytes, w1, w2, w3, alone, brief
 from (select doc_id, source, chars, bytes, dots,
@@ -64,18 +73,19 @@ from (select doc_id, source, chars, bytes, dots,
       from (select *, size(t) as n, try_element_at(t, -1) as w3, case when size(t) > 1 then try_element_at(t, -2) end as w2, case when size(t) > 2 then try_element_at(t, -3) end as w1
             from (select doc_id, source, chars, bytes, dots, tail, regexp_extract_all(lower(tail), '{_TOKEN}', 0) as t
                   from (select *, regexp_replace(right(body, 600), '[^\\p{{L}}\\p{{N}}]+$', '') as tail, body rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' as dots
-                        from (select doc_id, source, length(text) as chars, octet_length(text) as bytes, regexp_replace({{clean}}, '\\s+$', '') as body from {{docs}} where text is not null))
-                  where dots or not body rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$')))
+                        from (select doc_id, source, chars, bytes, regexp_replace({{clean}}, '\\s+$', '') as body from {{ends}}))
+                  where dots or not right(body, 60) rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$')))
 where w3 is not null and w3 not in {_MARKS}
 """
 
 #: Lengths, in characters and in bytes, beyond which hardly a text of a source goes and at which many of them stop.
 LIMITS = """
-select source, chars_limit, bytes_limit,
-       coalesce(at_chars >= {texts} and at_chars >= {share} * n, false) as by_chars, coalesce(at_bytes >= {texts} and at_bytes >= {share} * n, false) as by_bytes
-from (select d.source, any_value(l.c) as chars_limit, any_value(l.b) as bytes_limit, count(*) as n, count_if(length(d.text) = l.c) as at_chars, count_if(octet_length(d.text) = l.b) as at_bytes
-      from {docs} d join (select source, percentile_approx(length(text), 0.995, 10000) as c, percentile_approx(octet_length(text), 0.995, 10000) as b from {docs} where text is not null and source is not null group by source) l on d.source = l.source
-      where d.text is not null group by d.source)
+with lengths as (select source, length(text) as c, octet_length(text) as b, count(*) as n from {docs} where text is not null and source is not null group by 1, 2, 3),
+     most as (select source, percentile_approx(c, 0.995, 10000) as c, percentile_approx(b, 0.995, 10000) as b from (select source, length(text) as c, octet_length(text) as b from {docs} where text is not null and source is not null) group by source)
+select l.source, any_value(m.c) as chars_limit, any_value(m.b) as bytes_limit,
+       sum(case when l.c = m.c then l.n else 0 end) >= greatest({texts}, {share} * sum(l.n)) as by_chars,
+       sum(case when l.b = m.b then l.n else 0 end) >= greatest({texts}, {share} * sum(l.n)) as by_bytes
+from lengths l join most m on l.source = m.source group by l.source
 """
 
 JUDGED = """
@@ -109,31 +119,33 @@ def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
+@F.pandas_udf("string")
+def _kind(texts: pd.Series) -> pd.Series:
+    return texts.map(kind_of)
+
+
+_kind = _kind.asNondeterministic()  # so that it is not moved before the filter that leaves it few texts
+
+
 def unfinished(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """doc_id, source, in_sentence, in_word, at_limit of every text without an end mark; all three are booleans.
+    """doc_id, source, in_sentence, in_word, at_limit of every prose text without an end mark; all three are booleans.
 
-    Null and blank texts give no row; a null source has no field limit; rows that repeat are judged each by itself, and
+    Lists, tables and junk are left out by an exact check of their own words. Null and blank texts give no row; a null source has no field limit; rows that repeat are judged each by itself, and
     count each; other columns are ignored. Sources are compared without letter case and outer blanks.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.trim(F.col(source_col))).alias("source"), F.col(text_col).cast("string").alias("text"))
     trigrams = materialize(_run(spark, TRIGRAMS, docs=docs))
-    finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("text")), docs=docs))
+    ends = _run(spark, OPEN_ENDED, docs=docs).withColumn("kind", _kind("text")).filter("kind = 'prose'")
+    ends = ends.select("doc_id", "source", "chars", "bytes", F.right("text", F.lit(ENDING)).alias("ending"))
+    finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("ending")), ends=ends))
     limits = materialize(_run(spark, LIMITS.replace("{texts}", str(LIMIT_TEXTS)).replace("{share}", str(LIMIT_SHARE)), docs=docs))
     return _run(spark, JUDGED.replace("{frequent}", str(FREQUENT)).replace("{rarely}", str(RARELY_ENDS)), finals=finals, trigrams=trigrams, limits=limits)
 
 
-@F.pandas_udf("string")
-def _kind(texts: pd.Series) -> pd.Series:
-    return texts.map(kind_of)
-
-
 def truncated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``unfinished`` that were cut, lists, tables and junk left out by an exact check of their own words."""
-    found = unfinished(df, id_col, text_col, source_col).filter("in_sentence or in_word or at_limit")
-    texts = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("_text")).filter("_text is not null")
-    kinds = texts.join(found.select("doc_id").distinct(), "doc_id").select("doc_id", _kind("_text").alias("kind")).filter("kind = 'prose'").select("doc_id").distinct()
-    return found.join(kinds, "doc_id")
+    """The rows of ``unfinished`` that were cut."""
+    return unfinished(df, id_col, text_col, source_col).filter("in_sentence or in_word or at_limit")
 
 
 def rates(df: DataFrame, **columns: str) -> DataFrame:
