@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, language, leaks, mixing, reading, shape, tokens, truncation
+from textquarry.llm import encoding, language, leaks, markup, mixing, reading, shape, tokens, truncation
 from textquarry.runtime import spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -151,3 +151,18 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p10_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.rates(documents(spark, sf_dir, "doc_id", "text", "source"))
+
+
+# ---- 3: markup ---------------------------------------------------------------------------------------
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cleaned = markup.clean_markup(documents(spark, sf_dir, "doc_id", "text"))
+    return cleaned.select("doc_id", F.explode("kinds").alias("kind")).distinct()
+
+
+@query
+def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that carried markup, as clean text."""
+    return markup.clean_markup(documents(spark, sf_dir, "doc_id", "text")).filter(F.size("kinds") > 0)
