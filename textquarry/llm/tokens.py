@@ -18,6 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from textquarry.llm.language import language_of_label
 from textquarry.runtime import map_texts
@@ -194,7 +195,7 @@ def budget(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
 def count_udf(shared) -> Callable[[str], Column]:
     """A vectorised function from texts to their tokens."""
 
-    @F.pandas_udf("long")
+    @F.pandas_udf(LongType())
     def count(texts: pd.Series) -> pd.Series:
         c = _counter(shared)
         return pd.Series([c.count(t) for t in texts], dtype="Int64")

@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textquarry.llm.shape import kind_of
 from textquarry.runtime import materialize
@@ -38,14 +39,19 @@ where w3 is not null and w4 is not null and w3 not in {_MARKS}
 group by 1, 2, 3
 """
 
+#: (pattern of markup, what it leaves)
 _CLEAN = (
-    (r"(?s)<(style|script)\\b.*?(?:</\\1>|$)|<!--.*?-->|```.*?(?:```|$)|\\\\begin\\{[a-z]*\\}.*?\\\\end\\{[a-z]*\\}", ". "),
+    (r"(?s)<(style|script)\\b.*?(?:</\\1>|$)|<!--.*?-->", ". "),
+    (r"(?s)```.*?(?:```|$)", ". "),
+    (r"(?s)\\\\begin\\{[a-z]*\\}.*?\\\\end\\{[a-z]*\\}", ". "),
     (r"!\\[[^\\]\\n]*\\]\\([^)\\s]*\\)", ". "),
     (r"\\[([^\\]\\n]*)\\]\\([^)\\s]*\\)", "$1"),
     (r"\\[\\[(?:Category|File|Kategorie|Categoría|Catégorie|Categoria|Categorie|Категория):[^\\]]*\\]\\]", "."),
-    (r"~?\\\\(?:cite|label|ref|footnote)\\w*\\{[^}]*\\}|<ref[^>]*>.*?</ref>", ""),
-    (r"(?:https?://|www\\.)\\S+|\\S+@\\S+\\.\\w+", "."),
-    (r"</?[A-Za-z][^<>]*>|&(?:amp;)?lt;/?[A-Za-z].{0,200}?&(?:amp;)?gt;", ""),
+    (r"~?\\\\(?:cite|label|ref|footnote)\\w*\\{[^}]*\\}", ""),
+    (r"<ref[^>]*>.*?</ref>", ""),
+    (r"(?:https?://|www\\.)\\S+|[^\\s@]+@[^\\s@]+\\.\\w+", "."),
+    (r"</?[A-Za-z][^<>]*>", ""),
+    (r"&(?:amp;)?lt;/?[A-Za-z].{0,200}?&(?:amp;)?gt;", ""),
 )
 
 
@@ -53,7 +59,7 @@ def _cleaned(column: str) -> str:
     out = column
     for pattern, new in _CLEAN:
         out = f"regexp_replace({out}, '{pattern}', '{new}')"
-    return out
+    return f"case when {column} rlike '[<`\\\\[\\\\\\\\@]|://|www|lt;' then {out} else {column} end"
 
 
 #: Texts whose end, as it stands, is no end of a sentence.
@@ -64,18 +70,17 @@ where text is not null and (right(text, 60) rlike '(?:…|\\.\\.\\.)[\\])\\s]*$'
 
 #: The last words of texts that stop without an end mark, or with the dots that some writers of fields put after a cut.
 #: Only the end of a text is looked at; a sentence is shorter than ENDING characters.
+#: Each view holds a value that is worked out once, however often it is used.
 FINALS = rf"""
-select doc_id, source, chars, bytes, w1, w2, w3, alone, brief
-from (select doc_id, source, chars, bytes, dots,
-             case when n < 3 or w2 in {_MARKS} or w1 in {_MARKS} then '¶' else w1 end as w1, case when n < 2 or w2 in {_MARKS} then '¶' else w2 end as w2, w3,
-             tail rlike '(?:^|\\n)[^\\p{{L}}\\p{{N}}\\n]*[\\p{{L}}\\p{{N}}\\x27’-]+[^\\p{{L}}\\p{{N}}\\n]*$' as alone,
-             tail rlike '\\n[^\\n]{{0,44}}$' as brief
-      from (select *, size(t) as n, try_element_at(t, -1) as w3, case when size(t) > 1 then try_element_at(t, -2) end as w2, case when size(t) > 2 then try_element_at(t, -3) end as w1
-            from (select doc_id, source, chars, bytes, dots, tail, regexp_extract_all(lower(tail), '{_TOKEN}', 0) as t
-                  from (select *, regexp_replace(right(body, 600), '[^\\p{{L}}\\p{{N}}]+$', '') as tail, body rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' as dots
-                        from (select doc_id, source, chars, bytes, regexp_replace({{clean}}, '\\s+$', '') as body from {{ends}}))
-                  where dots or not right(body, 60) rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$')))
-where w3 is not null and w3 not in {_MARKS}
+select doc_id, source, chars, bytes,
+       case when size(t) < 3 or t[size(t) - 2] in {_MARKS} or t[size(t) - 3] in {_MARKS} then '¶' else t[size(t) - 3] end as w1,
+       case when size(t) < 2 or t[size(t) - 2] in {_MARKS} then '¶' else t[size(t) - 2] end as w2, t[size(t) - 1] as w3,
+       tail rlike '(?:^|\\n)[^\\p{{L}}\\p{{N}}\\n]*[\\p{{L}}\\p{{N}}\\x27’-]+[^\\p{{L}}\\p{{N}}\\n]*$' as alone,
+       tail rlike '\\n[^\\n]{{0,44}}$' as brief
+from (select *, right(body, 60) as last from {{ends}} lateral view explode(array(regexp_replace({{clean}}, '\\s+$', ''))) as body)
+lateral view explode(array(regexp_replace(right(body, 600), '[^\\p{{L}}\\p{{N}}]+$', ''))) as tail
+lateral view explode(array(regexp_extract_all(lower(tail), '{_TOKEN}', 0))) as t
+where (last rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' or not last rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$') and size(t) > 0 and t[size(t) - 1] not in {_MARKS}
 """
 
 #: Lengths, in characters and in bytes, beyond which hardly a text of a source goes and at which many of them stop.
@@ -119,7 +124,7 @@ def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _kind(texts: pd.Series) -> pd.Series:
     return texts.map(kind_of)
 
