@@ -25,7 +25,11 @@ FUNCTION_WORDS = {
 def language_votes(text: Column) -> Column:
     """Languages with their share of all votes, best first; empty without any vote."""
     w = lower_words(text)
-    votes = F.array(*(F.struct(F.size(F.filter(w, lambda x, own=own: x.isin(*own))).alias("n"), F.lit(lang).alias("lang")) for lang, own in FUNCTION_WORDS.items()))
+
+    def hits(own: tuple[str, ...]) -> Column:
+        return F.size(F.filter(w, lambda x: x.isin(*own)))
+
+    votes = F.array(*(F.struct(hits(own).alias("n"), F.lit(lang).alias("lang")) for lang, own in FUNCTION_WORDS.items()))
     total = F.aggregate(votes, F.lit(0), lambda acc, v: acc + v["n"])
     ranked = F.array_sort(F.filter(votes, lambda v: v["n"] > 0), lambda a, b: F.when(a["n"] != b["n"], b["n"] - a["n"]).when(a["lang"] < b["lang"], -1).otherwise(1))
     return F.transform(ranked, lambda v: F.struct(v["lang"].alias("lang"), (v["n"] / total).alias("prob")))

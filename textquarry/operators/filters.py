@@ -13,6 +13,7 @@ from textquarry.functions import metrics
 from textquarry.functions import text as T
 from textquarry.functions.language import language_votes
 from textquarry.operators.dedup import greedy_overlap_removed
+from textquarry.runtime import materialize
 
 #: Words counted as toxic, and the kinds of content with their cue words and confidence.
 TOXIC = ("hate", "racist", "sexist", "offensive", "discrimination", "violence", "threat", "harassment", "bullying", "abuse")
@@ -98,7 +99,7 @@ def content_type_filter(allowed: Sequence[str], confidence: float = 0.6) -> Filt
 
 def quality_filter(df: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text", score: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Documents of at least this quality; ``score`` may give another (id, quality_score). Documents without text pass."""
-    scores = score(df) if score else metrics.all_metrics(df, text_col, (id_col,))
+    scores = materialize((score(df) if score else metrics.all_metrics(df, text_col, (id_col,))).select(id_col, "quality_score"))  # else the condition repeats every metric
     good = scores.filter(F.col("quality_score") >= least).select(id_col).distinct()
     return df.filter(F.col(text_col).isNotNull()).join(good, id_col, "left_semi").unionByName(df.filter(F.col(text_col).isNull()))
 

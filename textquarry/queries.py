@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry import queries_documents  # noqa: F401  registers its queries
 from textquarry.functions.identity import account_key, page_key
 from textquarry.operators.grouping import group_splits, tied_groups
+from textquarry.registry import QUERIES, SQL, query
 from textquarry.runtime import materialize, table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    QUERIES[f.__name__] = f
-    return f
-
+__all__ = ["QUERIES", "SQL"]
 
 WORD = r"[\p{L}\p{N}_]+"
 
