@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry import queries_documents  # noqa: F401  registers its queries
+from textquarry import queries_documents, queries_engine  # noqa: F401  they register their queries
 from textquarry.functions.identity import account_key, page_key
 from textquarry.operators.grouping import group_splits, tied_groups
 from textquarry.registry import QUERIES, SQL, query
