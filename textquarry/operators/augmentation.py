@@ -71,7 +71,7 @@ def restructure(sentence: str) -> str:
     if m and m["verb"].lower() in PARTICIPLES:
         subject, thing = m["subject"], m["object"]
         return f"{subject[:1].upper()}{subject[1:]} {PARTICIPLES[m['verb'].lower()]} {thing[:1].lower()}{thing[1:]}"
-    for m in re.finditer(r" (\w+) ", sentence):
+    for m in re.finditer(r" (\w+)(?= )", sentence):
         if m.group(1).lower() in CONJUNCTIONS:
             first, second = sentence[: m.start()].strip(" ,"), sentence[m.end() :].strip(" ,")
             if first and second:

@@ -85,14 +85,14 @@ class Config:
 
     @classmethod
     def load(cls, path: str) -> Config:
+        if not path.endswith((".yaml", ".yml", ".json")):
+            raise ValueError(f"unsupported configuration format: {path}")
         with open(path, encoding="utf-8") as f:
-            if path.endswith((".yaml", ".yml")):
-                import yaml
-
-                return cls(yaml.safe_load(f) or {})
             if path.endswith(".json"):
                 return cls(json.load(f))
-        raise ValueError(f"unsupported configuration format: {path}")
+            import yaml
+
+            return cls(yaml.safe_load(f) or {})
 
     def save(self, path: str) -> None:
         with open(path, "w", encoding="utf-8") as f:

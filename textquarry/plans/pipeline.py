@@ -92,7 +92,7 @@ class Pipeline:
         if "doc_id" not in out.columns or any("doc_id" not in p.columns for p in parts):
             # ids that a rerun over the same files gives again
             own = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns if c != "doc_id"))
-            out = out.withColumn("doc_id", F.coalesce("doc_id", own) if "doc_id" in out.columns else own)
+            out = out.withColumn("doc_id", F.coalesce("doc_id", own) if "doc_id" in out.columns else own).dropDuplicates(["doc_id"])
         return out
 
     def preprocess(self, df: DataFrame) -> DataFrame:

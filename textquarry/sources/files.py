@@ -145,7 +145,7 @@ def file_metadata(spark: SparkSession, path: str) -> DataFrame:
     @F.pandas_udf(StringType())
     def encoding(heads: pd.Series) -> pd.Series:
         def one(raw: bytes) -> str:
-            for cut in range(4):  # a character may be cut at the end of the head
+            for cut in range(4 if len(raw) == 10240 else 1):  # a character may be cut at the end of the head
                 try:
                     raw[: len(raw) - cut].decode("utf-8")
                     return "utf-8"
