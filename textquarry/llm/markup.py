@@ -143,7 +143,7 @@ def render(node: Node, threshold: float) -> str:
     out: list[str] = []
 
     def inline(n: Node) -> str:
-        return re.sub(r"\s+", " ", "".join(c if isinstance(c, str) else "" if c.name in _GONE else "\n" if c.name == "br" else inline(c) for c in n.children)).strip()
+        return re.sub(r"\s+", " ", _raw(n)).strip()
 
     stack: list[tuple[Node | str, int]] = [(node, 0)]
     while stack:
@@ -160,7 +160,7 @@ def render(node: Node, threshold: float) -> str:
         elif len(n.name) == 2 and n.name[0] == "h" and n.name[1].isdigit():
             out.append(f"\n\n{'#' * int(n.name[1])} {inline(n)}\n\n")
         elif n.name == "pre":
-            code = "".join(c if isinstance(c, str) else _raw(c) for c in n.children).strip("\n")
+            code = _raw(n).strip("\n")
             out.append(f"\n\n```\n{code}\n```\n\n")
         elif n.name == "tr":
             cells = [inline(c) for c in n.children if isinstance(c, Node) and c.name in ("td", "th")]
@@ -178,8 +178,18 @@ def render(node: Node, threshold: float) -> str:
     return _tidy(text)
 
 
-def _raw(n: Node) -> str:
-    return "".join(c if isinstance(c, str) else "\n" if c.name == "br" else _raw(c) for c in n.children)
+def _raw(node: Node) -> str:
+    """All text of a subtree as it stands, breaks as line ends; without recursion."""
+    out, stack = [], list(reversed(node.children))
+    while stack:
+        n = stack.pop()
+        if isinstance(n, str):
+            out.append(n)
+        elif n.name == "br":
+            out.append("\n")
+        elif n.name not in _GONE:
+            stack.extend(reversed(n.children))
+    return "".join(out)
 
 
 def has_html(text: str) -> bool:
@@ -267,7 +277,7 @@ def from_wiki(text: str) -> str:
     def table(m: re.Match) -> str:
         rows = []
         for part in re.split(r"^\|-.*$", m.group(1), flags=re.M):
-            cells = [c.strip() for ln in part.splitlines() if ln[:1] in "|!" and ln[:2] not in ("|}", "|+") for c in re.split(r"\|\||!!", ln[1:])]
+            cells = [c.strip() for ln in part.splitlines() if ln and ln[0] in "|!" and ln[:2] not in ("|}", "|+") for c in re.split(r"\|\||!!", ln[1:])]
             if cells:
                 rows.append(" | ".join(cells))
         return "\n".join(rows)

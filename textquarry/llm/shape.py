@@ -101,7 +101,7 @@ def statistics(text: str | None) -> tuple[float, ...] | None:
         return None
     if not text.isascii():
         text = repair(text)[1]
-    n = n_list = n_table = n_prose = n_odd = lines = ended = common = letters = numbers = furniture = 0
+    n = n_list = n_table = n_prose = n_odd = lines = ended = common = letters = numbers = furniture = singles = 0
     types: set[str] = set()
     run: list[int] = []  # words of unmarked short lines that follow one another
 
@@ -121,7 +121,7 @@ def statistics(text: str | None) -> tuple[float, ...] | None:
         k = len(ws)
         bare = 0
         if k < 4 or line.count(" ") > 1.6 * k:
-            bare = len(line.split())
+            bare = sum(1 for x in line.split() if x.strip("=#*|-_~>+.:•–·{}[]"))
             if k < 0.5 * bare:
                 k = bare
         if not k:
@@ -155,11 +155,11 @@ def statistics(text: str | None) -> tuple[float, ...] | None:
         elif f >= 0.25 * k and not end or (digits == len(ws) and len(cells) == 1):
             n_odd += k
             flush()
-        elif len(cells) >= 3 or (len(cells) == 2 and columns >= 2 and not end and max(len(x.split()) for x in cells) <= 8):
+        elif len(cells) >= 3 or (len(cells) == 2 and (columns >= 2 or "\t" in line or line.lstrip().startswith("|")) and not end and max(len(x.split()) for x in cells) <= 8):
             columns = len(cells)
             n_table += k
             flush()
-        elif (k == 1 and sum(map(len, ws)) <= 1) or len(ws) < 0.5 * bare or (c < 0.25 * k and _nonsense(ws)) or f > 0.5 * k:
+        elif len(ws) < 0.5 * bare or (c < 0.25 * k and _nonsense(ws)) or f > 0.5 * k:
             n_odd += k
             flush()
         elif (entry or (mark and mark.group().strip())) and k <= 16 and not (end and k > 9):
@@ -172,6 +172,7 @@ def statistics(text: str | None) -> tuple[float, ...] | None:
             n_prose += k
         elif k <= 7 and not end:
             run.append(k)
+            singles += k == 1 and len(line.strip()) == 1
         else:
             if run:
                 flush()
@@ -185,7 +186,8 @@ def statistics(text: str | None) -> tuple[float, ...] | None:
     if not n:
         size = len(text.split())
         return (float(size), 0.0, 0.0, 0.0, 1.0, 0.0, 0.0, 1.0, 0.0, 0.0, float(np.log1p(size)), 1.0)
-    if (n >= 12 and len(types) <= 8 and len(types) < 0.4 * n) or furniture > 0.3 * n:  # a few words over and over, or a page's furniture between names
+    if (n >= 12 and len(types) <= 8 and len(types) < 0.4 * n) or furniture > 0.3 * n or (singles >= 5 and singles > 0.4 * lines):
+        # a few words over and over, a page's furniture between names, or letters one below the other
         n_list = n_table = n_prose = 0
         n_odd = n
     solid = sum(map(len, text.split()))

@@ -178,7 +178,7 @@ def budget(df: DataFrame, path: str = VOCABULARY) -> DataFrame:
 
     level names the columns that a row is broken down by ("" for the total); a null in such a column is the slice
     without a name. Texts are counted one by one, slices are summed before the cube spreads them, so it is small.
-    Null texts count as documents without tokens; an empty table gives an empty cube but for its total.
+    Null texts count as documents without tokens; an empty table gives an empty cube.
     """
     slices = {"source": tidy(F.col("source")), "lang": tidy_language(F.col("lang")), "topic": tidy_topic(F.col("topic")), "format": tidy(F.col("format"))}
     shared = df.sparkSession.sparkContext.broadcast(Vocabulary.load(path))

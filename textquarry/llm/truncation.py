@@ -73,14 +73,14 @@ where text is not null and (right(text, 60) rlike '(?:…|\\.\\.\\.)[\\])\\s]*$'
 #: Each view holds a value that is worked out once, however often it is used.
 FINALS = rf"""
 select doc_id, source, chars, bytes,
-       case when size(t) < 3 or t[size(t) - 2] in {_MARKS} or t[size(t) - 3] in {_MARKS} then '¶' else t[size(t) - 3] end as w1,
-       case when size(t) < 2 or t[size(t) - 2] in {_MARKS} then '¶' else t[size(t) - 2] end as w2, t[size(t) - 1] as w3,
+       case when size(t) < 3 or get(t, size(t) - 2) in {_MARKS} or get(t, size(t) - 3) in {_MARKS} then '¶' else get(t, size(t) - 3) end as w1,
+       case when size(t) < 2 or get(t, size(t) - 2) in {_MARKS} then '¶' else get(t, size(t) - 2) end as w2, get(t, size(t) - 1) as w3,
        tail rlike '(?:^|\\n)[^\\p{{L}}\\p{{N}}\\n]*[\\p{{L}}\\p{{N}}\\x27’-]+[^\\p{{L}}\\p{{N}}\\n]*$' as alone,
        tail rlike '\\n[^\\n]{{0,44}}$' as brief
 from (select *, right(body, 60) as last from {{ends}} lateral view explode(array(regexp_replace({{clean}}, '\\s+$', ''))) as body)
 lateral view explode(array(regexp_replace(right(body, 600), '[^\\p{{L}}\\p{{N}}]+$', ''))) as tail
 lateral view explode(array(regexp_extract_all(lower(tail), '{_TOKEN}', 0))) as t
-where (last rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' or not last rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$') and size(t) > 0 and t[size(t) - 1] not in {_MARKS}
+where (last rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' or not last rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$') and size(t) > 0 and get(t, size(t) - 1) not in {_MARKS}
 """
 
 #: Lengths, in characters and in bytes, beyond which hardly a text of a source goes and at which many of them stop.
