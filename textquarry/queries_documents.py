@@ -15,14 +15,14 @@ from textquarry.operators import splits as S
 from textquarry.operators import tokenization as K
 from textquarry.operators import validation as V
 from textquarry.registry import SQL, query
-from textquarry.runtime import table
+from textquarry.runtime import spread, table
 
 _W = T.WORD
 _B = T.BLANK.replace("\\t", "\t").replace("\\n", "\n").replace("\\f", "\f").replace("\\r", "\r")
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 _BASE = rf"""
