@@ -182,3 +182,18 @@ def back_translations(df: DataFrame, ratio: float = 0.5, variations: int = 2, la
 def statistics(df: DataFrame, flag: str) -> DataFrame:
     """original, augmented, total and the ratio of augmented to original."""
     return df.agg(F.count_if(~F.col(flag)).alias("original"), F.count_if(flag).alias("augmented"), F.count("*").alias("total")).withColumn("ratio", F.when(F.col("original") > 0, F.round(F.col("augmented") / F.col("original"), 6)).otherwise(0.0))
+
+
+@F.pandas_udf(StringType())
+def _composite(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+    def one(t: str, seed: int) -> str:
+        return template_paraphrase(t, seed) or back_translate(t, seed)
+
+    return pd.Series([None if t is None else one(t, int(s)) for t, s in zip(texts, seeds, strict=True)], dtype=object)
+
+
+def composite_paraphrase(text: Column, id_col: str, seed: int = 42) -> Column:
+    """A template's other form where one fits; else synonyms and phrases, then traces of a round trip."""
+    ruled = transform_phrases(replace_synonyms(text, id_col, 0.1, seed))
+    fits = text.rlike(r"(?i)^\s*(?:what (?:is|are)|how do (?:you|i|we)|why|please|create|write)\b")
+    return _composite(F.when(fits, text).otherwise(ruled), F.pmod(F.xxhash64(F.col(id_col), F.lit("composite"), F.lit(seed)), F.lit(2**31)))

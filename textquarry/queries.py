@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from textquarry import queries_documents, queries_engine  # noqa: F401  they register their queries
 from textquarry.functions.identity import account_key, page_key
+from textquarry.operators.filters import TOXIC
 from textquarry.operators.grouping import group_splits, tied_groups
 from textquarry.registry import QUERIES, SQL, query
-from textquarry.runtime import materialize, table
+from textquarry.runtime import materialize, spread, table
 
 __all__ = ["QUERIES", "SQL"]
 
@@ -19,12 +20,14 @@ WORD = r"[\p{L}\p{N}_]+"
 @query
 def corpus_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact-unique texts of 10 to 10,000 characters and toxicity of at most 0.3, by language label."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").filter("text is not null")
-    first = d.groupBy(F.sha2("text", 256).alias("h")).agg(F.min(F.struct("doc_id", "text", "lang")).alias("d")).select("d.*")
     w = F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0))
-    bad = F.size(F.filter(w, lambda x: x.isin("hate", "racist", "sexist", "offensive", "discrimination", "violence", "threat", "harassment", "bullying", "abuse")))
-    first = first.filter(F.length("text").between(10, 10000)).withColumn("n", F.size(w)).filter(bad <= 0.3 * F.col("n"))
-    return first.groupBy("lang").agg(F.count("*").alias("docs"), F.sum(F.length("text")).cast("long").alias("chars"), F.round(F.avg("n"), 6).alias("mean_words"))
+    bad = F.size(F.filter(w, lambda x: x.isin(*TOXIC)))
+    d = spread(table(spark, sf_dir, "documents"), "doc_id", "text", "lang").filter("text is not null")
+    # what the texts say is worked out where they lie; only these few values are shuffled
+    d = d.select("doc_id", "lang", F.sha2("text", 256).alias("h"), F.length("text").alias("chars"), F.size(w).alias("n"), bad.alias("bad"))
+    first = d.groupBy("h").agg(F.min(F.struct("doc_id", "lang", "chars", "n", "bad")).alias("d")).select("d.*")
+    first = first.filter(F.col("chars").between(10, 10000) & (F.col("bad") <= 0.3 * F.col("n")))
+    return first.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").cast("long").alias("chars"), F.round(F.avg("n"), 6).alias("mean_words"))
 
 
 SQL["corpus_by_language"] = r"""

@@ -62,9 +62,29 @@ def read_parquet(spark: SparkSession, path: str | Sequence[str], columns: Sequen
     return _rows(df.select(*columns) if columns else df, "parquet")
 
 
-def read_txt(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
+def decoded(spark: SparkSession, path: str | Sequence[str], encoding: str = "auto") -> DataFrame:
+    """(source, value) of whole files in an encoding; "auto" tries UTF-8, then cp1252."""
+
+    @F.pandas_udf(StringType())
+    def decode(files: pd.Series) -> pd.Series:
+        def one(raw: bytes) -> str:
+            if encoding != "auto":
+                return raw.decode(encoding, "replace")
+            try:
+                return raw.decode("utf-8")
+            except UnicodeDecodeError:
+                return raw.decode("cp1252", "replace")
+
+        return files.map(one)
+
+    f = spark.read.format("binaryFile").load(path)
+    return f.select(F.regexp_replace("path", "^file:(?://)?", "").alias("source"), decode("content").alias("value"))
+
+
+def read_txt(spark: SparkSession, path: str | Sequence[str], encoding: str = "utf-8") -> DataFrame:
     """A document for each stripped line that is not blank; line_number counts from 1 and counts blank lines."""
-    whole = spark.read.text(path, wholetext=True).select(_source().alias("source"), F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
+    whole = spark.read.text(path, wholetext=True).select(_source().alias("source"), "value") if encoding == "utf-8" else decoded(spark, path, encoding)
+    whole = whole.select("source", F.posexplode(F.split("value", "\r\n|\r|\n")).alias("at", "line"))
     return whole.select(strip(F.col("line")).alias("text"), "source", F.lit("txt").alias("format"), (F.col("at") + 1).alias("line_number")).filter("text <> ''")
 
 
