@@ -10,7 +10,7 @@ from __future__ import annotations
 import random
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.tokens import VOCABULARY, Vocabulary, count_udf, tidy
@@ -105,7 +105,7 @@ def mix(df: DataFrame, targets: DataFrame, seed: int = 42, total: int | None = N
         histograms.setdefault(r.source, {})[r.tokens] = r.n
     rows = [(s, n, rounds, extra.get(n, 0)) for s, (rounds, extra) in plan(histograms, goals, total).items() for n in histograms[s]]
     chosen = spark.createDataFrame(rows, "source string, tokens long, rounds long, extra long")
-    ranked = seeded_rank(counted, ["source", "tokens"], "doc_id", seed).join(F.broadcast(chosen), ["source", "tokens"])
+    ranked = seeded_rank(counted, ["source", "tokens"], "doc_id", seed).join(chosen, ["source", "tokens"])
     copies = F.col("rounds") + F.when(F.col("_rank") <= F.col("extra"), 1).otherwise(0)
     return ranked.select("doc_id", "source", "tokens", copies.alias("copies")).filter("copies > 0")
 
@@ -120,8 +120,8 @@ def _counted(df: DataFrame, sources: list[str], path: str) -> DataFrame:
 def reached_shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """For every target: source, target_share, max_repeats, docs, tokens taken, most copies of a document, share reached."""
     by = mixed.groupBy("source").agg(F.count("*").alias("docs"), F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.max("copies").alias("most_copies"))
-    total = by.agg(F.sum("tokens").alias("_all"))
+    by = by.withColumn("_all", F.sum("tokens").over(Window.partitionBy(F.lit(1))))  # a row for each named source
     goals = targets.select(tidy(F.col("source")).alias("source"), "target_share", "max_repeats")
-    out = goals.join(by, "source", "left").join(F.broadcast(total))  # one row
+    out = goals.join(by, "source", "left")
     share = F.round(F.coalesce(F.col("tokens") / F.col("_all"), F.lit(0.0)), 6)
     return out.select("source", "target_share", "max_repeats", *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("docs", "tokens", "most_copies")), share.alias("share"))
