@@ -36,7 +36,7 @@ _SUSPECT = re.compile("[\u0080-\u009f¡-¿À-ɏͰ-ӿ‐-⯿ﬁﬂ�]")
 _THREE = re.compile("[\u0080-\u009fÀ-ÿ]{3}")
 _SWAPPED = re.compile("[а-яё][А-ЯЁ]|[А-Яа-яЁё][│┐└┴┬├─┼╒ё╓-╬]|[│┐└┴┬├─┼╒-╬][А-Яа-яЁё]")
 _MAC = re.compile("[†‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]{3}")
-_RUNS = re.compile(r"(?<![^\W\d_])(?:[А-Яа-яЁё│┐└┴┬├─┼▀▄█▌▐░▒▓⌠■∙√≈≤≥⌡°²·÷═║╒ё╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡Ё╢╣╤╥╦╧╨╩╪╫╬©]+|[\u0080-ÿ]+|[À-ÿŒœŸ†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…ÀÃÕ–—“”‘’÷◊⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]+)(?![^\W\d_])")
+_RUNS = re.compile(r"(?<![^\W\d_])(?:[А-Яа-яЁёЂ-Џђ-џҐґ│┐└┴┬├─┼▀▄█▌▐░▒▓⌠■∙√≈≤≥⌡°²·÷═║╒ё╓╔╕╖╗╘╙╚╛╜╝╞╟╠╡Ё╢╣╤╥╦╧╨╩╪╫╬©]+|[\u0080-ÿ]+|[À-ÿŒœŸ†°¢£§•¶ß®©™´¨≠ÆØ∞±≤≥¥µ∂∑∏π∫ªºΩæø¿¡¬√ƒ≈∆«»…ÀÃÕ–—“”‘’÷◊⁄€‹›ﬁﬂ‡·‚„‰ÂÊÁËÈÍÎÏÌÓÔÒÚÛÙıˆ˜¯˘˙˚¸˝˛ˇ]+)(?![^\W\d_])")
 
 
 def read_bytes(raw: bytes, codec: str) -> str:
@@ -138,6 +138,8 @@ def _mixed(text: str) -> list[tuple[int, int, str, str]]:
         original = "".join(read_bytes(c.encode(read), "cp1252") if "А" <= c <= "я" or c in "Ёё" else c for c in m.group())
         if all(c.isascii() or c in ACCENTED for c in original):
             out.append((m.start(), m.end(), f"cp1252>{read}", original))
+    if read == "cp1251" and len(words) >= 3:  # the opening marks of Spanish
+        out += [(m.start(), m.end(), "cp1252>cp1251", {"ї": "¿", "Ў": "¡"}[m.group()]) for m in re.finditer(r"(?<!\w)[їЎ](?=[A-Za-zА-Яа-я])", text)]
     return out
 
 
