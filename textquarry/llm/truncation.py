@@ -99,18 +99,22 @@ with bigrams as (select w2, w3, sum(inside) as inside, sum(ends) as ends from {t
      asked as (select distinct w1, w2, w3 from {finals}),
      longer as (select a.w1, a.w2, a.w3, sum(t.inside + t.ends) as n from asked a join {trigrams} t
                 on a.w1 = t.w1 and a.w2 = t.w2 and left(a.w3, 1) = left(t.w3, 1) and startswith(t.w3, a.w3) and t.w3 <> a.w3 group by a.w1, a.w2, a.w3),
+     longer_pairs as (select a.w2, a.w3, sum(b.inside + b.ends) as n from (select distinct w2, w3 from asked where w2 <> '¶') a join bigrams b
+                      on a.w2 = b.w2 and left(a.w3, 1) = left(b.w3, 1) and startswith(b.w3, a.w3) and b.w3 <> a.w3 group by a.w2, a.w3),
      unknown as (select a.w3 from (select distinct w3 from asked where length(w3) >= 3) a left anti join words w on a.w3 = w.w3),
      longer_words as (select u.w3, sum(w.inside + w.ends) as n from unknown u join words w on left(u.w3, 3) = left(w.w3, 3) and startswith(w.w3, u.w3) group by u.w3)
 select f.doc_id, f.source,
        not f.alone and (case when coalesce(t.inside, 0) + coalesce(t.ends, 0) >= {frequent} then t.inside >= {frequent} and t.ends <= {rarely} * t.inside
                              else coalesce(b.inside >= {frequent} and b.ends <= {rarely} * b.inside and f.w2 <> '¶', false) end) as in_sentence,
        coalesce(l.n >= {frequent} and coalesce(t.inside, 0) + coalesce(t.ends, 0) < {rarely} * l.n, false)
+         or (not f.alone and coalesce(l.n, 0) < {frequent} and coalesce(p.n >= {frequent} and coalesce(b.inside, 0) + coalesce(b.ends, 0) < {rarely} * p.n, false))
          or (not f.alone and f.w1 <> '¶' and coalesce(u.n >= {frequent}, false)) as in_word,
        not f.brief and coalesce((m.by_chars and f.chars <= m.chars_limit and f.chars > m.chars_limit - 60) or (m.by_bytes and f.bytes <= m.bytes_limit and f.bytes > m.bytes_limit - 60), false) as at_limit
 from {finals} f
 left join {trigrams} t on f.w1 = t.w1 and f.w2 = t.w2 and f.w3 = t.w3
 left join bigrams b on f.w2 = b.w2 and f.w3 = b.w3
 left join longer l on f.w1 = l.w1 and f.w2 = l.w2 and f.w3 = l.w3
+left join longer_pairs p on f.w2 = p.w2 and f.w3 = p.w3
 left join longer_words u on f.w3 = u.w3
 left join {limits} m on f.source = m.source
 """
