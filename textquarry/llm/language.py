@@ -36,9 +36,9 @@ NOTATIONS = {
     "ru": ("ru", "rus", "russian", "русский", "russisch", "russe", "ruso"),
 }
 #: Documents of each language, chosen by seeded hash, that the classifiers are trained on at most.
-TRAIN_DOCUMENTS = 150
-TRAIN_SENTENCES = 600
-SLOTS = 8192
+TRAIN_DOCUMENTS = 250
+TRAIN_SENTENCES = 1500
+SLOTS = 16384
 PAIRS = tuple(p for f in FAMILIES.values() for p in combinations(f, 2))
 #: A language counts in a document from this share of its words.
 LEAST_SHARE = 0.2
@@ -132,7 +132,7 @@ class LanguageModel:
         return out
 
 
-def train(examples: list[tuple[str, str]], steps: int = 1000, seed: int = 7) -> LanguageModel:
+def train(examples: list[tuple[str, str]], steps: int = 2000, seed: int = 7) -> LanguageModel:
     """Linear SVMs by stochastic subgradients on (language, text); unknown languages are left out."""
     rng = np.random.default_rng(seed)
     rows, langs = [], []
@@ -146,11 +146,8 @@ def train(examples: list[tuple[str, str]], steps: int = 1000, seed: int = 7) ->
         pick = rng.permutation(len(own))[:TRAIN_SENTENCES]
         rows += [own[i] for i in pick]
         langs += [code] * len(pick)
-    x = np.zeros((len(rows), SLOTS), dtype=np.float32)
     known = {w: slots(w) for w in {w for s in rows for w in s}}
-    for i, s in enumerate(rows):
-        ids = np.concatenate([known[w] for w in s])
-        x[i] = np.bincount(ids, minlength=SLOTS) / np.sqrt(len(ids))
+    ids = [np.concatenate([known[w] for w in s]) for s in rows]
     langs = np.array(langs)
     goals = [np.where(np.isin(langs, FAMILIES[f]), 1, -1) for f in FAMILIES] + [np.where(langs == a, 1, np.where(langs == b, -1, 0)) for a, b in PAIRS]
     y = np.stack(goals, 1).astype(np.float32)
@@ -158,15 +155,21 @@ def train(examples: list[tuple[str, str]], steps: int = 1000, seed: int = 7) ->
     bias = np.zeros(y.shape[1], dtype=np.float32)
     total, total_bias = w.copy(), bias.copy()
     penalty = 1e-4
-    weight = np.array([1 / max(1, (langs == c).sum()) for c in langs])
+    size = {c: int((langs == c).sum()) for c in LANGUAGES}
+    weight = np.array([1 / size[c] for c in langs])
     weight /= weight.sum()
+    order = rng.choice(len(rows), (steps, 48), p=weight)
     for t in range(1, steps + 1):
-        pick = rng.choice(len(x), 48, p=weight)
-        xb, yb = x[pick], y[pick]
-        wrong = (yb * (xb @ w + bias) < 1) * yb
+        pick = order[t - 1]
+        own = [ids[i] for i in pick]
+        count = np.array([len(o) for o in own])
+        flat = np.concatenate(own)
+        scale = (1 / np.sqrt(count)).astype(np.float32)[:, None]
+        margin = np.add.reduceat(w[flat], np.concatenate([[0], np.cumsum(count)[:-1]])) * scale + bias
+        wrong = (y[pick] * margin < 1) * y[pick]
         rate = 0.5 / (1 + 0.01 * t)
         w *= 1 - rate * penalty
-        w += rate / 48 * (xb.T @ wrong)
+        np.add.at(w, flat, np.repeat(rate / 48 * scale * wrong, count, axis=0))
         bias += 0.1 * rate / 48 * wrong.sum(0)
         if t > steps // 3:
             total += w
