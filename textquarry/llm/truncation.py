@@ -93,11 +93,14 @@ select l.source, any_value(m.c) as chars_limit, any_value(m.b) as bytes_limit,
 from lengths l join most m on l.source = m.source group by l.source
 """
 
+#: Trigrams that begin like a final one: all that its own count and the words usual in its place need.
+NEAR = "select t.* from {trigrams} t left semi join (select distinct w1, w2 from {finals}) a on t.w1 = a.w1 and t.w2 = a.w2"
+
 JUDGED = """
 with bigrams as (select w2, w3, sum(inside) as inside, sum(ends) as ends from {trigrams} group by w2, w3),
      words as (select w3, sum(inside) as inside, sum(ends) as ends from {trigrams} group by w3),
      asked as (select distinct w1, w2, w3 from {finals}),
-     longer as (select a.w1, a.w2, a.w3, sum(t.inside + t.ends) as n from asked a join {trigrams} t
+     longer as (select a.w1, a.w2, a.w3, sum(t.inside + t.ends) as n from asked a join {near} t
                 on a.w1 = t.w1 and a.w2 = t.w2 and left(a.w3, 1) = left(t.w3, 1) and startswith(t.w3, a.w3) and t.w3 <> a.w3 group by a.w1, a.w2, a.w3),
      longer_pairs as (select a.w2, a.w3, sum(b.inside + b.ends) as n from (select distinct w2, w3 from asked where w2 <> '¶') a join bigrams b
                       on a.w2 = b.w2 and left(a.w3, 1) = left(b.w3, 1) and startswith(b.w3, a.w3) and b.w3 <> a.w3 group by a.w2, a.w3),
@@ -111,7 +114,7 @@ select f.doc_id, f.source,
          or (not f.alone and f.w1 <> '¶' and coalesce(u.n >= {frequent}, false)) as in_word,
        not f.brief and coalesce((m.by_chars and f.chars <= m.chars_limit and f.chars > m.chars_limit - 60) or (m.by_bytes and f.bytes <= m.bytes_limit and f.bytes > m.bytes_limit - 60), false) as at_limit
 from {finals} f
-left join {trigrams} t on f.w1 = t.w1 and f.w2 = t.w2 and f.w3 = t.w3
+left join {near} t on f.w1 = t.w1 and f.w2 = t.w2 and f.w3 = t.w3
 left join bigrams b on f.w2 = b.w2 and f.w3 = b.w3
 left join longer l on f.w1 = l.w1 and f.w2 = l.w2 and f.w3 = l.w3
 left join longer_pairs p on f.w2 = p.w2 and f.w3 = p.w3
@@ -149,7 +152,8 @@ def unfinished(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ends = ends.select("doc_id", "source", "chars", "bytes", F.right("text", F.lit(ENDING)).alias("ending"))
     finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("ending")), ends=ends))
     limits = materialize(_run(spark, LIMITS.replace("{texts}", str(LIMIT_TEXTS)).replace("{share}", str(LIMIT_SHARE)), docs=docs))
-    return _run(spark, JUDGED.replace("{frequent}", str(FREQUENT)).replace("{rarely}", str(RARELY_ENDS)), finals=finals, trigrams=trigrams, limits=limits)
+    near = materialize(_run(spark, NEAR, trigrams=trigrams, finals=finals))
+    return _run(spark, JUDGED.replace("{frequent}", str(FREQUENT)).replace("{rarely}", str(RARELY_ENDS)), finals=finals, trigrams=trigrams, near=near, limits=limits)
 
 
 def truncated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
