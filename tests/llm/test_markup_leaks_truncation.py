@@ -24,6 +24,7 @@ def test_structure_survives():
     assert "Home" not in clean and "no()" not in clean
     assert "## Head" in clean and "- one\n- two" in clean and "```\na  b\nc\n```" in clean and "x | 1" in clean and "words & more" in clean
     assert markup.convert("\\subsection{T}\n\\begin{equation}\nx^2\n\\end{equation}\n\\textbf{b} text~\\cite{k}")[1] == "## T\n\n$$x^2$$\nb text"
+    assert markup.convert("So \\emph{\\hat{x} \\le y} and \\textbf{bold} words.")[1] == "So $\\hat{x} \\le y$ and bold words."
     assert markup.convert("== T ==\n'''b''' [[a|c]] {{x}}\n{|\n! h !! i\n|-\n| 1 || 2\n|}")[1] == "# T\nb c\nh | i\n1 | 2"
     assert markup.convert("T\n===\n**b** [l](http://x)\n* e")[1] == "# T\nb l\n- e"
 

@@ -258,6 +258,8 @@ def from_latex(text: str) -> str:
         text = re.sub(rf"\\{name}\*?\{{((?:[^{{}}]|\{{[^{{}}]*\}})*)\}}", lambda m, n=n: f"\n{'#' * n} {m.group(1)}\n", text)
     text = re.sub(r"\\item\b\s*(?:\[[^\]]*\])?\s*", "- ", text)
     text = re.sub(r"\\(?:begin|end)\{[^}]*\}(?:\[[^\]]*\]|\{[^}]*\})?", "", text)
+    # stress around a formula leaves a formula, around words it leaves the words
+    text = re.sub(r"\\(?:emph|text[a-z]{2})\{((?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*)\}", lambda m: f"${m.group(1)}$" if re.search(r"[\\^_]", m.group(1)) else m.group(1), text)
     formulas: list[str] = []
     text = re.sub(r"\$\$.*?\$\$|\$[^$\n]+\$", lambda m: formulas.append(m.group()) or f"\x00{len(formulas) - 1}\x00", text, flags=re.S)
     for _ in range(4):
