@@ -1,6 +1,7 @@
 """Rule-based augmentation: documents in, more documents out; every draw is a hash of seed, document and rule.
 
-Word and phrase rules are Column expressions; rules over whole sentences are Arrow functions seeded per row.
+Phrase rules are Column expressions; rules that draw among words or change whole sentences are Arrow functions seeded
+per row.
 """
 
 from __future__ import annotations
@@ -36,26 +37,31 @@ def chance(id_col: str, rule: str, seed: int, k: Column | int = 0) -> Column:
     return F.pmod(F.xxhash64(F.col(id_col), F.lit(rule), F.lit(k) if isinstance(k, int) else k, F.lit(seed)), F.lit(1_000_000)) / 1_000_000
 
 
-def replace_synonyms(text: Column, id_col: str, rate: float = 0.1, seed: int = 42) -> Column:
+_SPLIT = re.compile(r"^(.*?)(\W*)$", re.S)
+
+
+def with_synonyms(text: str, rate: float, seed: int) -> str:
     """About ``rate`` of the words that have synonyms, at least one; capitals and closing signs stay with the word."""
-    table = F.create_map(*(x for w, s in SYNONYMS.items() for x in (F.lit(w), F.array(*map(F.lit, s)))))
+    words = text.split(" ")
+    parts = [_SPLIT.match(w).groups() for w in words]
+    places = [i for i, (bare, _) in enumerate(parts) if bare.lower() in SYNONYMS]
+    rng = random.Random(seed)
+    rng.shuffle(places)
+    for i in places[: max(1, int(len(words) * rate))]:
+        bare, signs = parts[i]
+        new = rng.choice(SYNONYMS[bare.lower()])
+        words[i] = (new[:1].upper() + new[1:] if bare[:1].isupper() else new) + signs
+    return " ".join(words)
 
-    def bare(w: Column) -> Column:
-        return F.lower(F.regexp_replace(w, r"[^\p{L}]+$", ""))
 
-    words = F.split(text, " ")
-    places = F.filter(F.transform(words, lambda w, i: F.when(table[bare(w)].isNotNull(), i)), lambda i: i.isNotNull())
-    wanted = F.greatest(F.lit(1), F.floor(F.size(words) * rate).cast("int"))
-    ordered = F.array_sort(F.transform(places, lambda i: F.struct(F.xxhash64(F.col(id_col), F.lit("synonym"), i, F.lit(seed)).alias("h"), i.alias("i"))))
-    chosen = F.transform(F.slice(ordered, F.lit(1), wanted), lambda x: x["i"])
+def replace_synonyms(text: Column, id_col: str, rate: float = 0.1, seed: int = 42) -> Column:
+    """``with_synonyms`` for every row, drawn by seed and id; null stays null."""
 
-    def new(w: Column, i: Column) -> Column:
-        options = table[bare(w)]
-        s = F.element_at(options, (F.pmod(F.xxhash64(F.col(id_col), i, F.lit(seed)), F.size(options)) + 1).cast("int"))
-        s = F.when(w.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(s, 1, 1)), F.substring(s, 2, 100))).otherwise(s)
-        return F.concat(s, F.regexp_extract(w, r"([^\p{L}]*)$", 1))
+    @F.pandas_udf(StringType())
+    def replaced(texts: pd.Series, seeds: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else with_synonyms(t, rate, int(s)) for t, s in zip(texts, seeds, strict=True)], dtype=object)
 
-    return F.array_join(F.transform(words, lambda w, i: F.when(F.array_contains(chosen, i), new(w, i)).otherwise(w)), " ")
+    return replaced(text, F.xxhash64(F.col(id_col), F.lit("synonym"), F.lit(seed)))
 
 
 def transform_phrases(text: Column) -> Column:
