@@ -187,9 +187,9 @@ def fit_model(df: DataFrame, text_col: str, label_col: str, seed: int = 7) -> La
     counts = {r.c: r.n for r in named.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row for each language
     keep = F.lit(0)
     for c, n in counts.items():
-        keep = F.when(F.col("c") == c, F.lit(min(1_000_000, int(2.5e6 * TRAIN_DOCUMENTS / n) + 1))).otherwise(keep)
-    some = named.filter(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_000)) < keep)  # about 2.5 times what is needed
-    rows = [(r.c, r.t) for r in some.orderBy(F.xxhash64("t", F.lit(seed)), "t").limit(3 * TRAIN_DOCUMENTS * len(LANGUAGES)).collect()]
+        keep = F.when(F.col("c") == c, F.lit(min(1_000_000, int(1.3e6 * TRAIN_DOCUMENTS / n) + 1))).otherwise(keep)
+    some = named.filter(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_000)) < keep)  # about 1.3 times what is needed
+    rows = [(r.c, r.t) for r in some.orderBy(F.xxhash64("t", F.lit(seed)), "t").limit(2 * TRAIN_DOCUMENTS * len(LANGUAGES)).collect()]
     taken: dict[str, int] = {}
     used = []
     for c, t in rows:
