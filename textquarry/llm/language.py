@@ -105,7 +105,7 @@ class LanguageModel:
         return i
 
     def scores(self, sents: list[list[str]]) -> np.ndarray:
-        """Score of each sentence for each of LANGUAGES: that of its family plus its mean margin in the pairs."""
+        """Score of each sentence for each of LANGUAGES: that of its family, weighed by how firmly it is known, plus its mean margin in the pairs."""
         if not sents:
             return np.zeros((0, len(LANGUAGES)), dtype=np.float32)
         if len(self._row) + sum(map(len, sents)) > 400_000:
@@ -121,6 +121,8 @@ class LanguageModel:
         names = list(FAMILIES)
         family = raw[:, : len(names)]
         best = family.argmax(1)
+        two = np.partition(family, -2, axis=1)
+        sure = np.minimum(2.0, 2.5 * (two[:, -1] - two[:, -2]))  # how firmly the family is known
         out = np.zeros((len(sents), len(LANGUAGES)), dtype=np.float32)
         for k, f in enumerate(names):
             for x in FAMILIES[f]:
@@ -128,7 +130,7 @@ class LanguageModel:
                 for j, (a, b) in enumerate(PAIRS):
                     if x in (a, b):
                         margin += np.clip(raw[:, len(names) + j] * (1 if x == a else -1), -2, 2)
-                out[:, LANGUAGES.index(x)] = np.clip(family[:, k], -2, 2) + margin / max(1, len(FAMILIES[f]) - 1) + 2.0 * (best == k)
+                out[:, LANGUAGES.index(x)] = np.clip(family[:, k], -2, 2) + margin / max(1, len(FAMILIES[f]) - 1) + sure * (best == k)
         return out
 
 
