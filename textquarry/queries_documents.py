@@ -156,7 +156,7 @@ def length_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _UNITS = rf"""l as (select *, text is null or length(text) between 10 and 10000 as k1, text is null or len(regexp_extract_all(text, '{_W}')) between 20 and 1000 as k2,
 text is null or len(regexp_split_to_array(regexp_replace(text, '^{_B}+|{_B}+$', '', 'g'), '[.!?]+')) between 3 and 100 as k3 from documents)"""
-_ROWS = "select {0} as filter, count(*) as original, count_if({1}) as filtered, count(*) - count_if({1}) as removed, round((count(*) - count_if({1}))::double / count(*), 6) as removal_rate from {2}"
+_ROWS = "select {0} as filter, count(*) as original, count(*) filter (where {1}) as filtered, count(*) - count(*) filter (where {1}) as removed, round((count(*) - count(*) filter (where {1}))::double / count(*), 6) as removal_rate from {2}"
 SQL["length_filters"] = f"with {_UNITS} " + " union all ".join(_ROWS.format(f"'{n}'", k, "l") for n, k in (("length_characters", "k1"), ("length_words", "k2"), ("length_sentences", "k3"), ("and", "k1 and k2 and k3")))
 
 
@@ -196,7 +196,7 @@ def filter_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CT = "(" + SQL["content_type"].split(" from documents")[0].split("select doc_id, ")[1].split(" as type")[0] + ")"
 SQL["filter_pipeline"] = f"""with k as (select text is null or length(text) between 10 and 10000 as a, text is null or {_TOX} <= 0 as b, text is null or {_CT} in ('recipe', 'news', 'academic', 'review') as c from documents),
-n as (select count(*) as n0, count_if(a) as n1, count_if(a and b) as n2, count_if(a and b and c) as n3 from k)
+n as (select count(*) as n0, count(*) filter (where a) as n1, count(*) filter (where a and b) as n2, count(*) filter (where a and b and c) as n3 from k)
 select 1::bigint as step, 'length_characters' as filter, n0 as original, n1 as filtered, n0 - n1 as removed, round((n0 - n1)::double / n0, 6) as removal_rate from n
 union all select 2, 'toxicity', n1, n2, n1 - n2, round((n1 - n2)::double / n1, 6) from n union all select 3, 'content_type', n2, n3, n2 - n3, round((n2 - n3)::double / n2, 6) from n"""
 
@@ -256,7 +256,7 @@ def token_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["token_statistics"] = f"""with t as (select len({_TOKENS}) as n from documents where text is not null)
-select count(*) as texts, sum(least(n, 200))::bigint as total_tokens, round(avg(least(n, 200)), 6) as avg_tokens, min(least(n, 200)) as min_tokens, max(least(n, 200)) as max_tokens, count_if(n > 200) as truncated, round(count_if(n > 200)::double / count(*), 6) as truncation_rate from t"""
+select count(*) as texts, sum(least(n, 200))::bigint as total_tokens, round(avg(least(n, 200)), 6) as avg_tokens, min(least(n, 200)) as min_tokens, max(least(n, 200)) as max_tokens, count(*) filter (where n > 200) as truncated, round(count(*) filter (where n > 200)::double / count(*), 6) as truncation_rate from t"""
 
 
 @query

@@ -180,7 +180,7 @@ def synthetic_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Y.statistics(Y.mixed(spark, 1000))
 
 
-SQL["synthetic_mix"] = "select * from (values ('text', 400), ('instruction', 400), ('conversation', 200)) v(kind, count)"
+SQL["synthetic_mix"] = "select kind, count::bigint as count from (values ('text', 400), ('instruction', 400), ('conversation', 200)) v(kind, count)"
 
 
 # ---- monitoring and streams --------------------------------------------------------------------------
