@@ -2,7 +2,8 @@
 
 Method: a Gaussian mixture is fitted by expectation-maximization on the standardized statistics of all documents
 (each iteration is one distributed pass that sums sufficient statistics), and its components are mapped to the
-four kinds by inspected examples. An exact check of a document's own word shares confirms the kind.
+four kinds by inspected examples. The component decides the kind; an exact check of the document's own word shares
+overrules it only where they contradict it.
 """
 
 from __future__ import annotations
@@ -204,6 +205,8 @@ USED = STATS[1:]
 KINDS = ("prose", "list", "table", "junk")
 #: Smallest variance of a component, in standardized units: shares are often exactly 0 or 1.
 LEAST_VARIANCE = 0.02
+#: Share of a document's own words below which they contradict the kind of its component: one half, less what a line or two misread may shift.
+LEAST_OWN = 0.45
 
 #: Inspected examples, two or three groups for each kind; a group starts one component and names its kind.
 EXAMPLES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -318,13 +321,17 @@ def fit_mixture(stats: DataFrame, max_iterations: int = 12, tolerance: float = 1
     return m
 
 
-def confirmed(kind: str, s: tuple[float, ...]) -> str:
-    """The exact check: what most of the document's own words are."""
+def most_words(s: tuple[float, ...]) -> str:
+    """What most of the document's own words are: prose from one half on, else the largest of the other shares."""
     own = dict(zip(STATS, s, strict=True))
     shares = {"list": own["list_share"], "table": own["table_share"], "junk": own["odd_share"]}
-    if own["prose_share"] >= 0.5:
-        return "prose"
-    return kind if shares.get(kind, 0) >= 0.5 else max(shares, key=shares.get)
+    return "prose" if own["prose_share"] >= 0.5 else max(shares, key=shares.get)
+
+
+def confirmed(kind: str, s: tuple[float, ...]) -> str:
+    """The component's kind, unless the exact check contradicts it: fewer than LEAST_OWN of the document's own words are of it."""
+    own = dict(zip(STATS, s, strict=True))
+    return kind if own["odd_share" if kind == "junk" else f"{kind}_share"] >= LEAST_OWN else most_words(s)
 
 
 _OUT = pa.schema([("doc_id", pa.int64())] + [(n, pa.float64()) for n in STATS])
@@ -367,4 +374,4 @@ def shapes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def kind_of(text: str | None) -> str | None:
     """The kind of one text by its own word shares alone, for operators that set lists, tables and junk aside."""
     s = statistics(text)
-    return None if s is None else confirmed("prose", s)
+    return None if s is None else most_words(s)
