@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from textquarry.llm import shape
+from textquarry.llm import queries, shape
 
 
 def shares(prose, items, table=0.0, odd=0.0):
@@ -29,3 +29,11 @@ def test_shapes_follow_the_mixture(spark, monkeypatch):
     df = spark.createDataFrame([(1, text)], "doc_id long, text string")
     monkeypatch.setattr(shape, "fit_mixture", lambda stats: AllLists())
     assert [r.kind for r in shape.shapes(df).collect()] == ["list"] and shape.kind_of(text) == "prose"
+
+
+def test_file_records_are_repaired_in_their_columns(spark, tmp_path):
+    rows = [(1, {"a": "Ã©tÃ©", "b": "sound", "c": "GrÃ¶ÃŸe"}), (2, None), (3, {"a": None, "b": "été"})]
+    spark.createDataFrame(rows, "record_id long, content map<string,string>").write.parquet(f"{tmp_path}/file_records.parquet")
+    spark.createDataFrame([(7, "Ã©tÃ©"), (8, "été")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r.tab, r.rec_id, r.column, r.repaired) for r in queries.QUERIES["p1_repaired"](spark, str(tmp_path)).collect()}
+    assert got == {("documents", 7, "text", "été"), ("file_records", 1, "a", "été"), ("file_records", 1, "c", "Größe")}

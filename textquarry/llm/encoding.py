@@ -258,11 +258,11 @@ def repair(text: str | None) -> tuple[bool, str | None, int, str, int]:
 _OUT = pa.schema([("rec_id", pa.int64()), ("damaged", pa.bool_()), ("repaired", pa.string()), ("spans", pa.int64()), ("encodings", pa.string()), ("lost", pa.int64())])
 
 
-def repair_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per text with characters outside ASCII: rec_id, damaged, repaired, spans, encodings, lost.
+def repair_texts(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per text with characters outside ASCII: rec_id, damaged, repaired, spans, encodings, lost, and the columns of ``keep``.
 
     Null, empty and pure ASCII texts hold no damage and give no row; rows that repeat are judged each by itself;
-    an empty table gives an empty result; other columns are ignored whatever their names.
+    an empty table gives an empty result; all other columns are ignored whatever their names.
     """
 
     def make():
@@ -273,9 +273,9 @@ def repair_texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
         return f
 
     some = df.filter(F.col(text_col).rlike(r"[^\x00-\x7F]"))
-    return map_texts(some, id_col, text_col, _OUT, "rec_id long, damaged boolean, repaired string, spans long, encodings string, lost long", make)
+    return map_texts(some, id_col, text_col, _OUT, "rec_id long, damaged boolean, repaired string, spans long, encodings string, lost long", make, keep)
 
 
 def map_values(df: DataFrame, id_col: str, map_col: str) -> DataFrame:
-    """One row per value of a map column: (rec_id, value); null maps and null values give none."""
-    return df.select(F.col(id_col).alias("_rec"), F.explode(F.map_values(F.col(map_col))).alias("_value")).filter("_value is not null")
+    """One row per value of a map column: (rec_id, key, value); null maps and null values give none."""
+    return df.select(F.col(id_col).alias("_rec"), F.explode(F.col(map_col)).alias("_key", "_value")).filter("_value is not null")

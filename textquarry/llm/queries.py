@@ -37,8 +37,12 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def p1_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The damaged documents with their text put right."""
-    return encoding.repair_texts(documents(spark, sf_dir, "doc_id", "text"), "doc_id", "text").filter("damaged").withColumnRenamed("rec_id", "doc_id").drop("damaged")
+    """The damaged documents and values of file records with their text put right; ``column`` is where the text belongs."""
+    docs = documents(spark, sf_dir, "doc_id", "text").withColumn("column", F.lit("text"))
+    docs = encoding.repair_texts(docs, "doc_id", "text", ("column",)).withColumn("tab", F.lit("documents"))
+    files = encoding.map_values(spread(table(spark, sf_dir, "file_records"), "record_id", "content"), "record_id", "content")
+    files = encoding.repair_texts(files.withColumnRenamed("_key", "column"), "_rec", "_value", ("column",)).withColumn("tab", F.lit("file_records"))
+    return docs.unionByName(files).filter("damaged").select("tab", "rec_id", "column", "repaired", "spans", "encodings", "lost")
 
 
 # ---- 4: shape ----------------------------------------------------------------------------------------

@@ -41,10 +41,11 @@ def spread(df: DataFrame, *cols: str) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def map_texts(df: DataFrame, id_col: str, text_col: str, schema: pa.Schema, spark_schema: str, make: Callable[[], Callable[[list, list], dict]]) -> DataFrame:
+def map_texts(df: DataFrame, id_col: str, text_col: str, schema: pa.Schema, spark_schema: str, make: Callable[[], Callable[[list, list], dict]], keep: tuple[str, ...] = ()) -> DataFrame:
     """Arrow-batched map over (id, text). ``make`` runs once per task and returns ``f(ids, texts) -> columns``.
 
-    Only the two named columns travel to Python; others, whatever they are called, are ignored.
+    Only the two named columns travel to Python; others, whatever they are called, are ignored. Those of ``keep`` come
+    out again as strings behind the rest, for an ``f`` that gives one row for each text, in order.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -52,10 +53,12 @@ def map_texts(df: DataFrame, id_col: str, text_col: str, schema: pa.Schema, spar
         for b in batches:
             if b.num_rows:
                 out = f(b.column(0).to_pylist(), b.column(1).to_pylist())
-                yield pa.RecordBatch.from_pydict({n: out[n] for n in schema.names}, schema=schema)
+                made = pa.RecordBatch.from_pydict({n: out[n] for n in schema.names}, schema=schema)
+                yield pa.RecordBatch.from_arrays([*made.columns, *b.columns[2:]], names=[*schema.names, *keep]) if keep else made
 
-    two = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"))
-    return two.mapInArrow(run, spark_schema)
+    kept = [F.col(c).cast("string").alias(f"_keep{i}") for i, c in enumerate(keep)]
+    two = df.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).cast("string").alias("_text"), *kept)
+    return two.mapInArrow(run, ", ".join([spark_schema, *(f"`{c}` string" for c in keep)]))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
