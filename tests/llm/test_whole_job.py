@@ -1,8 +1,9 @@
 """Cases in which an operator once did less than its whole job."""
 
 import numpy as np
+import pytest
 
-from textquarry.llm import queries, shape
+from textquarry.llm import language, queries, shape
 
 
 def shares(prose, items, table=0.0, odd=0.0):
@@ -37,3 +38,15 @@ def test_file_records_are_repaired_in_their_columns(spark, tmp_path):
     spark.createDataFrame([(7, "Ã©tÃ©"), (8, "été")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.tab, r.rec_id, r.column, r.repaired) for r in queries.QUERIES["p1_repaired"](spark, str(tmp_path)).collect()}
     assert got == {("documents", 7, "text", "été"), ("file_records", 1, "a", "été"), ("file_records", 1, "c", "Größe")}
+
+
+@pytest.mark.parametrize("n", range(4))
+def test_copies_take_no_places_in_the_training_sample(spark, monkeypatch, n):
+    monkeypatch.setattr(language, "TRAIN_DOCUMENTS", 20)
+    monkeypatch.setattr(language, "train", lambda examples, seed: examples)
+    rows = [(f"Deze tekst nummer {n} staat in een derde van alle rijen van de tabel.", "nl")] * 1000
+    rows += [(f"Dit is een andere tekst, met het nummer {i}, en die komt maar een keer voor.", "nl") for i in range(60)]
+    rows += [(f"This is another text, with the number {i}, and it is found only once.", "en") for i in range(2000 + n)]
+    rows += [(f"Dies ist ein anderer Text mit der Nummer {i}, den es nur einmal gibt.", "de") for i in range(5)]
+    got = language.fit_model(spark.createDataFrame(rows, "t string, l string").repartition(4), "t", "l")
+    assert len(set(got)) == len(got) and [sum(c == x for c, _ in got) for x in ("nl", "en", "de")] == [20, 20, 5]

@@ -14,7 +14,7 @@ from itertools import combinations, groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textquarry.llm.encoding import repair
@@ -181,24 +181,22 @@ def train(examples: list[tuple[str, str]], steps: int = 2000, seed: int = 7) ->
 
 
 def fit_model(df: DataFrame, text_col: str, label_col: str, seed: int = 7) -> LanguageModel:
-    """Classifiers trained on at most TRAIN_DOCUMENTS labelled rows of each language, chosen by seeded hash of the text.
+    """Classifiers trained on TRAIN_DOCUMENTS different labelled texts of each language, or all where there are fewer, chosen by seeded hash.
 
-    Rows without a usable label are not read for this; with no labelled rows at all, function words alone teach.
+    Copies of a text count once. Rows without a usable label are not read for this; with no labelled rows at all,
+    function words alone teach.
     """
     named = df.select(F.col(text_col).alias("t"), language_of_label(F.col(label_col)).alias("c")).filter("c is not null and length(t) > 40")
-    counts = {r.c: r.n for r in named.groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row for each language
+    named = named.withColumn("h", F.xxhash64("t", F.lit(seed)))
+    counts = {r.c: r.n for r in named.select("c", "h").distinct().groupBy("c").agg(F.count("*").alias("n")).collect()}  # a row for each language
     keep = F.lit(0)
+    drawn = TRAIN_DOCUMENTS + 6 * TRAIN_DOCUMENTS**0.5  # so many more that a draw by rate practically never falls short
     for c, n in counts.items():
-        keep = F.when(F.col("c") == c, F.lit(min(1_000_000, int(1.3e6 * TRAIN_DOCUMENTS / n) + 1))).otherwise(keep)
-    some = named.filter(F.pmod(F.xxhash64("t", F.lit(seed)), F.lit(1_000_000)) < keep)  # about 1.3 times what is needed
-    rows = [(r.c, r.t) for r in some.orderBy(F.xxhash64("t", F.lit(seed)), "t").limit(2 * TRAIN_DOCUMENTS * len(LANGUAGES)).collect()]
-    taken: dict[str, int] = {}
-    used = []
-    for c, t in rows:
-        if (taken.setdefault(c, 0)) < TRAIN_DOCUMENTS:
-            taken[c] += 1
-            used.append((c, t))
-    return train(used, seed=seed)
+        keep = F.when(F.col("c") == c, F.lit(min(1_000_000, int(1e6 * drawn / n) + 1))).otherwise(keep)
+    some = named.filter(F.pmod("h", F.lit(1_000_000)) < keep)  # with copies, of which each task keeps one
+    rank = F.row_number().over(Window.partitionBy("c").orderBy("h"))
+    used = some.groupBy("c", "h").agg(F.first("t").alias("t")).withColumn("rank", rank).filter(F.col("rank") <= TRAIN_DOCUMENTS)
+    return train([(r.c, r.t) for r in sorted(used.collect(), key=lambda r: (r.h, r.c))], seed=seed)
 
 
 class Judged:
