@@ -149,6 +149,9 @@ class Config:
             out.append("output.splits must sum to 1")
         if self.get("output.format") not in ("parquet", "jsonl", "dataset"):
             out.append(f"unknown output format: {self.get('output.format')}")
+        for a in self.get("monitoring.alerts") or []:
+            if not isinstance(a, Mapping) or not a.get("metric") or a.get("operator") not in ("gt", "lt", "eq") or not isinstance(a.get("threshold"), (int, float)):
+                out.append(f"an alert needs a metric, an operator (gt, lt, eq) and a threshold: {a}")
         for name, own in self.tree.items():
             if name not in SECTIONS:
                 out.append(f"unknown section: {name}")

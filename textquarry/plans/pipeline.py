@@ -5,18 +5,22 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import time
+from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.functions import metrics
 from textquarry.functions.cleaning import TextCleaner
 from textquarry.functions.language import is_language
-from textquarry.operators import augmentation, filters, splits, synthetic, tokenization
+from textquarry.operators import augmentation, filters, splits, synthetic, tokenization, validation
 from textquarry.operators import dedup as duplicates
 from textquarry.plans.config import Config
 from textquarry.plans.versioning import DatasetTracker, Stages
 from textquarry.sources import api, files, sinks, web
+from textquarry.streaming import monitoring
 
 
 def make_filter(own: dict[str, Any]) -> filters.Filter:
@@ -55,6 +59,8 @@ class Pipeline:
         self.out = config.get("project.output_dir")
         self.seed = config.get("project.seed", 42)
         self.dropped: dict[str, int] = {}
+        self.metrics = monitoring.Metrics()
+        self._begun: list[tuple[str, float]] = []
 
     def _key(self) -> str:
         """Changes with the configuration and with the files read."""
@@ -83,7 +89,10 @@ class Pipeline:
             else:
                 df = api.documents(self.spark.read.json(s["path"]))
             keep = [c for c in ("doc_id", "text", "source", "format", "title", "line_number", "lang") if c in df.columns]
-            parts.append(df.select(*keep))
+            # required fields travel along to be validated, nested ones as JSON
+            kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
+            own = [c for c in self.config.get("quality.required_fields") if c in kinds and c not in keep]
+            parts.append(df.select(*keep, *(F.to_json(c).alias(c) if kinds[c] in ("struct", "map", "array", "variant") else F.col(c) for c in own)))
         if not parts:
             raise ValueError("no documents found")
         out = splits.union_all(*parts)
@@ -113,6 +122,17 @@ class Pipeline:
         least = self.config.get("quality.min_quality_score", 0.0)
         return filters.quality_filter(df, least) if least else df
 
+    def quality_report(self, df: DataFrame) -> dict[str, Any]:
+        """Validation and quality metrics of all documents that the quality stage kept; nothing is dropped by either."""
+        report: dict[str, Any] = {"validation": None}
+        if self.config.get("quality.validate"):
+            checked = validation.validate(df, self.config.get("quality.required_fields"))
+            report["validation"] = validation.validity(checked).first().asDict() | {"errors": {r.error: r["count"] for r in validation.error_summary(checked).collect()}}
+        measured = metrics.all_metrics(df, "text", ("text",)).withColumn("lexical_diversity", metrics.lexical_diversity("text"))
+        summary = splits.metric_summary(measured, [c for c in measured.columns if c != "text"])
+        report["metrics"] = {r.metric: {"mean": r.mean, "min": r.min, "max": r.max} for r in summary.collect()}  # a row for each metric
+        return report
+
     def augment(self, df: DataFrame) -> DataFrame:
         own = self.config.get("augmentation")
         if not own["enabled"]:
@@ -134,11 +154,69 @@ class Pipeline:
         done = splits.stratified_split(rowed, field, own["splits"], "_row", self.seed) if field else splits.random_split(rowed, own["splits"], "_row", self.seed)
         return done.drop("_row")
 
+    def _timed(self, name: str, stage: Callable) -> Callable:
+        def run(df: DataFrame | None) -> DataFrame:
+            self._begun.append((name, time.perf_counter()))
+            return stage(df)
+
+        return run
+
+    def _quality_of(self, stages: Stages) -> dict[str, Any]:
+        """The report on the table of the quality stage; taken from its file where the stage was not run again."""
+        path = stages.path("quality") + ".json"
+        if os.path.exists(path) and "quality" not in dict(self._begun):
+            with open(path, encoding="utf-8") as f:
+                return json.load(f)
+        report = self.quality_report(self.spark.read.parquet(stages.path("quality")))
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(report, f)
+        return report
+
+    def _monitored(self, stages: Stages, quality: dict[str, Any]) -> dict[str, Any]:
+        """What was recorded, and the alerts that it meets; rules on metrics that nothing records are named."""
+        ends = [*(at for _, at in self._begun[1:]), self._ended]
+        for (name, at), end in zip(self._begun, ends, strict=False):  # stages that were run now
+            self.metrics.record(f"stage.{name}.duration", end - at)
+        for name, status in stages.status().items():
+            if status == "done":
+                self.metrics.record(f"stage.{name}.documents", self.spark.read.parquet(stages.path(name)).count())
+        for name, n in self.dropped.items():
+            self.metrics.record(f"dropped.{name}", n)
+        for name, n in (quality["validation"] or {}).items():
+            if name != "errors":
+                self.metrics.record(f"quality.{name}", n)
+        for name, own in quality["metrics"].items():
+            for part, value in own.items():
+                if value is not None:
+                    self.metrics.record(f"quality.{name}.{part}", value)
+        rules = [*monitoring.DEFAULT_RULES, *(monitoring.Rule(a.get("name", a["metric"]), a["metric"], a["operator"], a["threshold"]) for a in self.config.get("monitoring.alerts"))]
+        fired = monitoring.Alerts(self.metrics, rules).check()
+        for f in fired:
+            monitoring.log.warning("alert %(rule)s: %(metric)s is %(value)s, threshold %(threshold)s", f)
+        names = self.metrics.names()
+        return {"alerts": fired, "not_recorded": sorted({r.metric for r in rules} - set(names)), "latest": {n: self.metrics.series(n)[-1][1] for n in names}}
+
     def run(self, resume: bool = True) -> dict[str, Any]:
+        watch = monitoring.SystemMonitor(self.metrics) if self.config.get("monitoring.enabled") else None
+        if watch:
+            watch.sample()
+            watch.start()
+        try:
+            return self._run(resume, watch)
+        finally:
+            if watch:
+                watch.stop()
+
+    def _run(self, resume: bool, watch: monitoring.SystemMonitor | None) -> dict[str, Any]:
+        self._begun.clear()
         stages = Stages(self.spark, os.path.join(self.out, "stages"), self._key())
-        done = stages.run({"ingest": self.ingest, "preprocess": self.preprocess, "quality": self.quality, "augment": self.augment, "format": self.format}, resume=resume)
+        steps = {"ingest": self.ingest, "preprocess": self.preprocess, "quality": self.quality, "augment": self.augment, "format": self.format}
+        done = stages.run({n: self._timed(n, f) for n, f in steps.items()}, resume=resume)
+        self._ended = time.perf_counter()
+        quality = self._quality_of(stages)
         path = os.path.join(self.out, "dataset")
         sinks.write_splits(done, path, self.config.get("output.format"), compression=self.config.get("output.compression"))
         version = DatasetTracker(self.spark, os.path.join(self.out, "versions")).create(done, self.config.get("project.name"))
         counts = {r.split: r["count"] for r in done.groupBy("split").count().collect()}
-        return {"path": path, "version": version, "splits": counts, "stages": stages.status(), "dropped": self.dropped}
+        told = self._monitored(stages, quality) if watch else None
+        return {"path": path, "version": version, "splits": counts, "stages": stages.status(), "dropped": self.dropped, "quality": quality, "monitoring": told}
