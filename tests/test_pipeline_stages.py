@@ -28,3 +28,24 @@ def test_quality_is_validated_measured_and_watched(spark, tmp_path):
     got = Pipeline(spark, off).run()
     assert got["quality"]["validation"] is None and got["monitoring"] is None
     assert config(tmp_path, [{"type": "file"}], monitoring={"alerts": [{"metric": "x", "operator": "ge", "threshold": 1}]}).problems()
+
+
+def test_ingest_drops_no_copies_and_mixes_no_ids(spark, tmp_path):
+    def table(name, *rows):
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / name))
+        return {"type": "table", "path": str(tmp_path / name)}
+
+    def ingested(*sources, methods=()):
+        p = Pipeline(spark, config(tmp_path, list(sources), preprocessing={"dedup": {"methods": list(methods)}}))
+        return p.preprocess(p.ingest(None)).collect()
+
+    a, b, c = table("a", (1, "one"), (2, "two")), table("b", (1, "other"), (2, "two")), table("c", (3, "three"))
+    (tmp_path / "r.csv").write_text("text\n" + "same row\n" * 5000 + "another row\n", encoding="utf-8")
+    csv = {"type": "file", "path": str(tmp_path / "r.csv")}
+    assert sorted((r.doc_id, r.text) for r in ingested(a, c)) == [(1, "one"), (2, "two"), (3, "three")]
+    both = ingested(a, b)
+    assert sorted((r.own_id, r.text) for r in both) == [("1", "one"), ("1", "other"), ("2", "two"), ("2", "two")] and len({r.doc_id for r in both}) == 4
+    got = ingested(a, csv)
+    assert len(got) == len({r.doc_id for r in got}) == 5003 and {r.doc_id for r in ingested(a, csv)} == {r.doc_id for r in got}
+    assert sorted(r.text for r in ingested(csv, methods=["exact"])) == ["another row", "same row"]
+    assert len({r.doc_id for r in ingested(csv, csv)}) == 10002

@@ -49,6 +49,25 @@ def apply_filter(df: DataFrame, own: dict[str, Any]) -> DataFrame:
     return make_filter(own).apply(df)
 
 
+def identified(df: DataFrame) -> DataFrame:
+    """The documents with a ``doc_id`` each; none is dropped, and a rerun over the same sources gives the same ids.
+
+    Own ids stay where every document has one and none is given twice. Else the id is a hash of the source (``_from``),
+    of what the document says and, among equal documents, of a running number; an own id is kept as ``own_id``.
+    """
+    if "doc_id" in df.columns:
+        n = df.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+        if n["rows"] == n["ids"]:
+            return df.drop("_from")
+        df = df.withColumn("own_id", F.col("doc_id").cast("string")).drop("doc_id")
+    cols = df.columns
+    # equal documents meet as one row and a count, so a text that fills a third of the rows weighs nothing in the shuffle
+    equal = df.groupBy(*cols).agg(F.count("*").alias("_n"))
+    runs = equal.withColumn("_run", F.explode(F.expr("sequence(0, (_n - 1) div 4096)")))
+    each = runs.withColumn("_k", F.explode(F.expr("sequence(_run * 4096 + 1, least((_run + 1) * 4096, _n))")))
+    return each.select(F.xxhash64(F.to_json(F.struct(*cols, "_k"))).alias("doc_id"), *(c for c in cols if c != "_from"))
+
+
 class Pipeline:
     """ingest, preprocess, quality, augment, format; then a version."""
 
@@ -72,8 +91,9 @@ class Pipeline:
         return hashlib.sha256(json.dumps([self.config.tree, stamps], sort_keys=True, default=str).encode()).hexdigest()
 
     def ingest(self, _: DataFrame | None) -> DataFrame:
-        parts = []
+        parts, seen = [], []
         for s in self.config.get("ingestion.sources"):
+            seen.append(json.dumps(s, sort_keys=True, default=str))
             if s["type"] == "file":
                 path = s["path"]
                 df = files.read_directory(self.spark, path, s.get("pattern", "*")) if os.path.isdir(path) else files.read_file(self.spark, path)
@@ -92,17 +112,14 @@ class Pipeline:
             # required fields travel along to be validated, nested ones as JSON
             kinds = {f.name: f.dataType.typeName() for f in df.schema.fields}
             own = [c for c in self.config.get("quality.required_fields") if c in kinds and c not in keep]
-            parts.append(df.select(*keep, *(F.to_json(c).alias(c) if kinds[c] in ("struct", "map", "array", "variant") else F.col(c) for c in own)))
+            parts.append(df.select(*keep, *(F.to_json(c).alias(c) if kinds[c] in ("struct", "map", "array", "variant") else F.col(c) for c in own), F.lit(f"{seen[-1]}#{seen.count(seen[-1])}").alias("_from")))
         if not parts:
             raise ValueError("no documents found")
+        if len({dict(p.dtypes)["doc_id"] for p in parts if "doc_id" in p.columns}) > 1:
+            parts = [p.withColumn("doc_id", F.col("doc_id").cast("string")) if "doc_id" in p.columns else p for p in parts]
         out = splits.union_all(*parts)
         self.dropped["no_text"] = out.filter("text is null").count()
-        out = out.filter("text is not null")
-        if "doc_id" not in out.columns or any("doc_id" not in p.columns for p in parts):
-            # ids that a rerun over the same files gives again
-            own = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in out.columns if c != "doc_id"))
-            out = out.withColumn("doc_id", F.coalesce("doc_id", own) if "doc_id" in out.columns else own).dropDuplicates(["doc_id"])
-        return out
+        return identified(out.filter("text is not null"))
 
     def preprocess(self, df: DataFrame) -> DataFrame:
         own = self.config.get("preprocessing")
