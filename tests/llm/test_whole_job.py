@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from textquarry.llm import language, queries, shape
+from textquarry.llm import language, queries, shape, truncation
 
 
 def shares(prose, items, table=0.0, odd=0.0):
@@ -50,3 +50,12 @@ def test_copies_take_no_places_in_the_training_sample(spark, monkeypatch, n):
     rows += [(f"Dies ist ein anderer Text mit der Nummer {i}, den es nur einmal gibt.", "de") for i in range(5)]
     got = language.fit_model(spark.createDataFrame(rows, "t string, l string").repartition(4), "t", "l")
     assert len(set(got)) == len(got) and [sum(c == x for c, _ in got) for x in ("nl", "en", "de")] == [20, 20, 5]
+
+
+def test_long_block_at_the_end_is_no_last_sentence(spark):
+    text = "We walked along the river for an hour before it began to rain. Nobody had brought a coat, so we waited under the bridge.\n"
+    inner = "because the old mill was closed for the winter and " * 200
+    blocks = [f"<!-- {inner}-->", f"<!-- {inner[:500]}-->", "then we went home because the"]
+    assert len(inner) > 2 * truncation.ENDING
+    df = spark.createDataFrame([(i, text + b, "s") for i, b in enumerate(blocks)], "doc_id long, text string, source string")
+    assert [r.doc_id for r in truncation.unfinished(df).collect()] == [2]

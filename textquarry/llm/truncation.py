@@ -8,6 +8,8 @@ means that the word was. Lengths at which a source stops again and again tell it
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ FREQUENT = 3
 RARELY_ENDS = 0.1
 #: Texts of exactly one length that make it a field limit of their source, as a count and as a share.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.04
-#: Characters from the end in which markup after the last words is cleared.
+#: Characters from the end in which markup after the last words is cleared, unless a block may begin before them.
 ENDING = 4000
+#: What begins a block of markup; a longer text that holds one of these is cleared as a whole.
+OPENERS = ("<style", "<script", "<!--", "```", "\\begin{")
 
 _TOKEN = r"[\\p{L}\\p{N}]+(?:[\\x27’-][\\p{L}\\p{N}]+)*|[.!?\\n]"
 _MARKS = "('.', '!', '?', '\\n')"
@@ -149,7 +153,9 @@ def unfinished(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.trim(F.col(source_col))).alias("source"), F.col(text_col).cast("string").alias("text"))
     trigrams = materialize(_run(spark, TRIGRAMS, docs=docs))
     ends = _run(spark, OPEN_ENDED, docs=docs).withColumn("kind", _kind("text")).filter("kind = 'prose'")
-    ends = ends.select("doc_id", "source", "chars", "bytes", F.right("text", F.lit(ENDING)).alias("ending"))
+    opened = reduce(lambda a, b: a | b, [F.contains("text", F.lit(x)) for x in OPENERS])
+    ending = F.when((F.col("chars") > ENDING) & opened, F.col("text")).otherwise(F.right("text", F.lit(ENDING)))
+    ends = ends.select("doc_id", "source", "chars", "bytes", ending.alias("ending"))
     finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("ending")), ends=ends))
     limits = materialize(_run(spark, LIMITS.replace("{texts}", str(LIMIT_TEXTS)).replace("{share}", str(LIMIT_SHARE)), docs=docs))
     near = materialize(_run(spark, NEAR, trigrams=trigrams, finals=finals))
