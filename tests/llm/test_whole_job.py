@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from textquarry.llm import language, queries, shape, truncation
+from textquarry.llm import encoding, language, leaks, queries, shape, truncation
 
 
 def shares(prose, items, table=0.0, odd=0.0):
@@ -59,3 +59,21 @@ def test_long_block_at_the_end_is_no_last_sentence(spark):
     assert len(inner) > 2 * truncation.ENDING
     df = spark.createDataFrame([(i, text + b, "s") for i, b in enumerate(blocks)], "doc_id long, text string, source string")
     assert [r.doc_id for r in truncation.unfinished(df).collect()] == [2]
+
+
+@pytest.mark.parametrize(("before", "after"), [("Für größere Übungen prüfen Ärzte böse Füchse. " * 5, ""), ("", " Für größere Übungen prüfen Ärzte böse Füchse." * 5), ("À la fin, voilà là où ça va très bien, à côté. ", " Là, déjà à l’été.")])
+def test_offsets_of_leaks_in_unevenly_damaged_text(before, after):
+    passage = "which river flows through the largest city of the northern province near the old harbour"
+    damaged = [encoding.read_bytes(x.encode(), "cp1252").replace("\xa0", " ") for x in (before, passage, after)]
+    items = leaks.Items([(1, passage + "?"), (2, "how many stones were used for the tall bridge")])
+    items.prepare()
+    (_, _, start, end), *_ = leaks.leaks(items, "".join(damaged))
+    assert "".join(damaged)[start:end] == passage
+
+
+def test_offsets_at_both_ends_of_a_replaced_span():
+    damaged = "vor GrÃ¶ÃŸe nach"
+    (_, fixed, *_), passes = encoding.repair_spans(damaged)
+    s = fixed.index("Größe")
+    assert fixed == "vor Größe nach" and damaged[encoding.offset_before(passes, s) : encoding.offset_before(passes, s + 5, end=True)] == "GrÃ¶ÃŸe"
+    assert damaged[encoding.offset_before(passes, fixed.index("nach")) :] == "nach"

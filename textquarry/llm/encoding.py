@@ -224,13 +224,22 @@ def _quoted(text: str, start: int, end: int, original: str) -> bool:
     return bool(ABOUT.search(text[a:start] + " " + text[end:b])) or (original not in _DASH and original != LOST)
 
 
+#: A garbled à whose closing no-break space became a plain one.
+_PLAIN_BREAK = re.compile("Ã( |$)")
+
+
 def repair(text: str | None) -> tuple[bool, str | None, int, str, int]:
     """(damaged, text with the originals put back, spans replaced, encodings, characters lost for good).
 
     Null gives (False, None, 0, '', 0). Examples of damage quoted by sound text are left as they are.
     """
+    return repair_spans(text)[0]
+
+
+def repair_spans(text: str | None) -> tuple[tuple[bool, str | None, int, str, int], list[list[tuple[int, int, int]]]]:
+    """What ``repair`` gives, and its replacements in order, as (start, end, length put in) in the text before, one list for each pass."""
     if text is None or text.isascii() or not _SUSPECT.search(text):
-        return False, text, 0, "", 0
+        return (False, text, 0, "", 0), []
     spans = _spans(text) if _leads().search(text) else []
     cyrillic = _ANY_CYRILLIC.search(text)
     if _THREE.search(text) or (cyrillic and _SWAPPED.search(text)) or _MAC.search(text):
@@ -241,18 +250,37 @@ def repair(text: str | None) -> tuple[bool, str | None, int, str, int]:
     sure = [x for x in spans if not _quoted(text, x[0], x[1], x[3])]
     gone = [p for p in lost if not _quoted(text, p, p + 1, LOST)]
     if not sure and not gone:
-        return False, text, 0, "", 0
+        return (False, text, 0, "", 0), []
     if len(sure) >= 3:  # a text damaged throughout: single letters standing alone are damaged too
         sure = spans
     out, at = [], 0
+    passes: list[list[tuple[int, int, int]]] = [[]]
     for s, e, _, original in sorted(sure):
         if s >= at:
             out += [text[at:s], original]
+            passes[0].append((s, e, len(original)))
             at = e
     fixed = "".join(out) + text[at:]
     if any(c in ("cp1252", "latin-1") for _, _, c, _ in sure):  # the no-break space that ends a garbled à often became a plain one
-        fixed = re.sub("Ã( |$)", "à", fixed)
-    return True, fixed, len(sure), ",".join(sorted({c for _, _, c, _ in sure})), len(gone)
+        passes.append([(*m.span(), 1) for m in _PLAIN_BREAK.finditer(fixed)])
+        fixed = _PLAIN_BREAK.sub("à", fixed)
+    return (True, fixed, len(sure), ",".join(sorted({c for _, _, c, _ in sure})), len(gone)), passes
+
+
+def offset_before(passes: list[list[tuple[int, int, int]]], at: int, end: bool = False) -> int:
+    """Where a start (or an ``end``) in the repaired text lies in the text as given; a replaced span counts as a whole."""
+    p = at - end
+    for spans in reversed(passes):
+        shift = 0  # by which the text before is longer up to here
+        for s, e, n in spans:
+            if p < s - shift:
+                break
+            if p < s - shift + n:
+                p, shift = (e - 1 if end else s), 0
+                break
+            shift += e - s - n
+        p += shift
+    return p + end
 
 
 _OUT = pa.schema([("rec_id", pa.int64()), ("damaged", pa.bool_()), ("repaired", pa.string()), ("spans", pa.int64()), ("encodings", pa.string()), ("lost", pa.int64())])

@@ -16,7 +16,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from textquarry.llm.encoding import repair
+from textquarry.llm.encoding import offset_before, repair_spans
 from textquarry.runtime import map_texts
 
 #: Consecutive words that make an anchor.
@@ -112,9 +112,9 @@ def leaks(items: Items, text: str | None) -> list[tuple[int, float, int, int]]:
     """(item, share of its words, start, end in the text as given) for every item that leaks into it; null gives none."""
     if not text or not items.any:
         return []
-    original = text
+    replaced: list[list[tuple[int, int, int]]] = []
     if not text.isascii():
-        text = repair(text)[1]
+        (_, text, *_), replaced = repair_spans(text)
     if _MARKED.search(text):
         text = _DROP.sub(lambda m: " " * len(m.group()), text)
     words = [w.lower() for w in _WORD.findall(text)]
@@ -167,9 +167,7 @@ def leaks(items: Items, text: str | None) -> list[tuple[int, float, int, int]]:
             if spans is None:
                 spans = [m.span() for m in _WORD.finditer(text)]
             s, e = spans[a + pairs[0][1]][0], spans[a + pairs[-1][1]][1]
-            if len(text) != len(original):  # repaired: offsets in proportion
-                s, e = int(s * len(original) / len(text)), math.ceil(e * len(original) / len(text))
-            out.append((i, share, s, e))
+            out.append((i, share, offset_before(replaced, s), offset_before(replaced, e, end=True)))
     return sorted(out)
 
 
