@@ -141,13 +141,13 @@ def leaks(items: Items, text: str | None) -> list[tuple[int, float, int, int]]:
             continue
         found.sort()
         best = None
-        done = -1
-        for diagonal, _ in found:
-            if diagonal <= done:
+        done = None
+        for diagonal, _ in found:  # below 0 where the text opens inside the item
+            if done is not None and diagonal <= done:
                 continue
             done = diagonal + max(8, len(item) // 3)  # one window covers near diagonals
             a = max(0, diagonal - len(item) // 4 - 4)
-            window = words[a : done + len(item) + len(item) // 4 + 4]
+            window = words[a : max(a, done + len(item) + len(item) // 4 + 4)]
             pairs = densest(align(item, window))
             if not pairs:
                 continue
