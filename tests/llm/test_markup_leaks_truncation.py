@@ -29,8 +29,46 @@ def test_structure_survives():
     assert markup.convert("T\n===\n**b** [l](http://x)\n* e")[1] == "# T\nb l\n- e"
 
 
+PROSE = "The old ferry left the harbour before noon, and nobody on the quay could say when it would be back again. "
+PAGE = (
+    "<div><div class=side>Three new pages</div>"
+    "<div><h1>The ferry</h1><p>" + PROSE * 4 + "</p><p>" + PROSE * 5 + "</p><ul><li>one rope</li><li>two oars</li></ul><p>" + PROSE * 3 + "</p></div>"
+    "<ul><li><a href=/a>Start of all pages</a></li><li><a href=/b>Other pages here</a></li></ul><pre>x = 1\ny = 2</pre><div>All rights kept</div></div>"
+)
+
+
+def test_density_decides_what_is_content(monkeypatch):
+    clean = markup.convert(PAGE)[1]
+    assert clean.startswith("# The ferry") and clean.count("old ferry") == 12 and "- one rope\n- two oars" in clean and "```\nx = 1\ny = 2\n```" in clean
+    assert not any(x in clean for x in ("Three new pages", "Start of all", "Other pages", "All rights"))
+
+    def whole(root):
+        root.content = True
+        return root, 0.0
+
+    monkeypatch.setattr(markup, "mark_content", whole)  # with the root instead of the chosen subtree all of it stays
+    assert all(x in markup.convert(PAGE)[1] for x in ("Three new pages", "Start of all", "All rights"))
+
+
+def test_texts_with_words_outside_tags_are_kept_whole():
+    text = "A short word first.\n<ul><li>" + "</li><li>".join(["a rather long entry of a list"] * 9) + "</li></ul>\nAnd <b>one</b> last."
+    clean = markup.convert(text)[1]
+    assert clean.startswith("A short word first.") and clean.endswith("And one last.") and clean.count("- a rather") == 9
+
+
+def test_long_tags_and_formulas_have_no_limit():
+    tag = "".join(f" data-k{i}='{i * i}'" for i in range(200))
+    assert markup.convert(f"&lt;p{tag}&gt;Some words here.&lt;/p&gt;") == (["html"], "Some words here.")
+    sums = " + ".join(f"a_{{{i}}}" for i in range(200))
+    assert markup.convert(f"{PROSE}So ${sums}$ holds.")[0] == ["latex"] and markup.convert(f"{PROSE}So \\({sums}\\) holds.")[0] == ["latex"]
+    words = " ".join(f"word{i}" for i in range(200))
+    assert markup.convert(f"{PROSE * 9}An *{words}* ends.")[0] == ["markdown"]
+
+
 def test_deep_nesting_ends():
     assert "x" in markup.convert("<div>" * 3000 + "x" + "</div>" * 3000)[1]
+    clean = markup.convert("<div>" * 1000 + "<h2>Deep</h2><ul><li>one</li><li>two</li></ul>" + "</i></div>" * 1000)[1]
+    assert clean == "## Deep\n\n- one\n- two"
 
 
 ITEMS = leaks.Items(

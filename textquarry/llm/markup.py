@@ -2,7 +2,8 @@
 
 Method for HTML: composite text density. For every node of the document tree the characters per tag, adjusted by the
 share of links, give a density; the densities of a node's children are summed, and the subtree of the largest sum is the
-content. The smallest density on the path from the body to it is the threshold below which link-heavy blocks are dropped.
+content. The smallest density on the path from the body to it is the threshold: of every other node that reaches it, the
+subtree of the largest sum is content too, and what is in none of them is left out.
 Markdown, wiki markup and LaTeX are read by patterns. All four come out in one plain form: ``# `` before headings,
 ``- `` before entries, fenced code, cells between bars, formulas between dollars.
 """
@@ -12,6 +13,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from html.entities import html5
 from html.parser import HTMLParser
 
@@ -27,6 +29,7 @@ TAGS = frozenset(
 )
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input link meta param source track wbr".split())
 _GONE = frozenset("script style noscript template head iframe svg object".split())
+_STRUCTURE = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl table pre".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section table tbody td tfoot th thead tr ul caption title".split())
 _CLOSES = {"p": ("p",), "li": ("li",), "td": ("td", "th"), "th": ("td", "th"), "tr": ("td", "th", "tr"), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",)}
 for _t in ("div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote", "section", "article"):
@@ -35,7 +38,8 @@ for _t in ("div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "pre"
 _TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9]*)((?:\s[^<>]*|/)?)>")
 _COMMENT = re.compile(r"<!--.*?(?:-->|$)|<!DOCTYPE[^>]*>|<!\[CDATA\[|<\?xml[^>]*>", re.S | re.I)
 _REFERENCE = re.compile(r"&(#\d{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});")
-_ESCAPED_TAG = re.compile(r"&(?:amp;)?lt;(/?[A-Za-z][A-Za-z0-9]*(?:\s[^<>]{0,300}?)?/?)&(?:amp;)?gt;", re.S)
+_ESCAPED_TAG = re.compile(r"&(?:amp;)?lt;(/?[A-Za-z][A-Za-z0-9]*(?:\s(?:[^<>&]|&(?!(?:amp;)?[lg]t;))*)?/?)&(?:amp;)?gt;", re.S)
+_BLANKS = re.compile(r"[\u00a0\u2007\u202f]")
 _ESCAPED_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9]*)")
 
 
@@ -43,18 +47,20 @@ _ESCAPED_NAME = re.compile(r"/?([A-Za-z][A-Za-z0-9]*)")
 
 
 class Node:
-    __slots__ = ("chars", "children", "density", "link_chars", "link_tags", "name", "parent", "sum", "tags")
+    __slots__ = ("chars", "children", "content", "density", "link_chars", "link_tags", "name", "parent", "sum", "tags")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent, self.children = name, parent, []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density = self.sum = 0.0
+        self.content = False
 
 
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("body", None)
+        self.open: Counter = Counter()
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         if tag not in TAGS:
@@ -62,11 +68,13 @@ class _Tree(HTMLParser):
             return
         for _ in range(3):
             if self.at.name in _CLOSES.get(tag, ()) and self.at.parent:
+                self.open[self.at.name] -= 1
                 self.at = self.at.parent
         node = Node(tag, self.at)
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
+            self.open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in TAGS:
@@ -75,11 +83,12 @@ class _Tree(HTMLParser):
             self.at.children.append(self.get_starttag_text() or "")
 
     def handle_endtag(self, tag: str) -> None:
-        node = self.at
-        while node and node.name != tag:
-            node = node.parent
-        if node and node.parent:
-            self.at = node.parent
+        while self.open[tag] > 0:  # each step closes a node, so that stray end tags cost nothing
+            name = self.at.name
+            self.open[name] -= 1
+            self.at = self.at.parent
+            if name == tag:
+                break
 
     def handle_data(self, data: str) -> None:
         self.at.children.append(data)
@@ -92,13 +101,37 @@ def tree_of(text: str) -> Node:
     return parser.root
 
 
-def measure(root: Node) -> None:
-    """Characters, tags and links of every subtree, then densities and their sums; without recursion."""
+def _nodes(root: Node) -> list[Node]:
+    """Every node, parents first; without recursion."""
     order, stack = [], [root]
     while stack:
         n = stack.pop()
         order.append(n)
         stack.extend(c for c in n.children if isinstance(c, Node))
+    return order
+
+
+def box(root: Node) -> None:
+    """Runs of words and inline tags beside blocks become nodes of their own, as a browser boxes them."""
+    for n in _nodes(root):
+        if n.name in _GONE or not any(isinstance(c, Node) and c.name in _BLOCK for c in n.children):
+            continue
+        out: list = []
+        for c in n.children:
+            if (isinstance(c, Node) and (c.name in _BLOCK or c.name in _GONE)) or (isinstance(c, str) and not c.strip()):
+                out.append(c)
+                continue
+            if not (out and isinstance(out[-1], Node) and out[-1].name == "#run"):
+                out.append(Node("#run", n))
+            out[-1].children.append(c)
+            if isinstance(c, Node):
+                c.parent = out[-1]
+        n.children = out
+
+
+def measure(root: Node) -> None:
+    """Characters, tags and links of every subtree, then densities and their sums."""
+    order = _nodes(root)
     for n in reversed(order):
         if n.name in _GONE:
             continue
@@ -107,7 +140,7 @@ def measure(root: Node) -> None:
                 n.chars += len(c.strip())
             else:
                 n.chars += c.chars
-                n.tags += c.tags + 1
+                n.tags += c.tags + (c.name != "#run")
                 n.link_chars += c.chars if c.name == "a" else c.link_chars
                 n.link_tags += c.link_tags + (c.name == "a")
     ratio = root.link_chars / max(root.chars, 1)
@@ -119,40 +152,71 @@ def measure(root: Node) -> None:
         base = math.log(c / max(c - n.link_chars, 1) * n.link_chars + ratio * c + math.e)
         n.density = c / t * max(0.0, math.log(max(c / lc * t / lt, 1.0001)) / max(base, 1.0))
     for n in order:
-        n.sum = sum(c.density for c in n.children if isinstance(c, Node))
+        n.sum = sum(c.density for c in n.children if isinstance(c, Node)) or n.density  # a leaf is all there is of it
+
+
+def _largest(root: Node) -> dict[int, Node]:
+    """For every node the one of the largest density sum in its subtree, itself included; of equals the outer one."""
+    best: dict[int, Node] = {}
+    for n in reversed(_nodes(root)):
+        top = n
+        for c in n.children:
+            if isinstance(c, Node) and c.name not in _GONE and best[id(c)].sum > top.sum:
+                top = best[id(c)]
+        best[id(n)] = top
+    return best
 
 
-def content_of(root: Node) -> tuple[Node, float]:
-    """The subtree of the largest density sum, and the threshold on the path to it."""
-    best, stack = root, list(root.children)
+def mark_content(root: Node) -> tuple[Node, float]:
+    """Marks the content; (the subtree of the largest density sum, the threshold on the path from the body to it).
+
+    A text with words outside all tags is no page but a writer's text with some tags in it, and all of it is content.
+    Headings, lists, tables and code that are not mostly links are kept wherever they stand, as the structure of the text.
+    """
+    if any(isinstance(c, str) and c.strip() or isinstance(c, Node) and c.name == "#run" and c.link_chars <= 0.5 * c.chars for c in root.children):
+        root.content = True
+        return root, root.density
+    largest = _largest(root)
+    best = largest[id(root)]
+    threshold, n = best.density, best
+    while n := n.parent:
+        threshold = min(threshold, n.density)
+    stack = [root]
     while stack:
         n = stack.pop()
-        if isinstance(n, Node) and n.name not in _GONE:
-            if n.sum > best.sum and n.chars > 0.5 * root.chars:
-                best = n
-            stack.extend(n.children)
-    path, n = [], best
-    while n:
-        path.append(n.density)
-        n = n.parent
-    return best, min(path)
-
-
-def render(node: Node, threshold: float) -> str:
-    """Clean text of a subtree; blocks below the threshold that are mostly links are left out."""
+        if n.name in _GONE or not n.chars:
+            continue
+        if n.density >= threshold:
+            largest[id(n)].content = True
+        if n.name in _STRUCTURE and n.link_chars <= 0.5 * n.chars:
+            n.content = True
+        if not n.content:
+            stack.extend(c for c in n.children if isinstance(c, Node))
+    return best, threshold
+
+
+def render(node: Node) -> str:
+    """Clean text of the content that is marked in a subtree."""
     out: list[str] = []
 
     def inline(n: Node) -> str:
         return re.sub(r"\s+", " ", _raw(n)).strip()
 
-    stack: list[tuple[Node | str, int]] = [(node, 0)]
+    stack: list[tuple[Node | str, int, bool]] = [(node, 0, False)]
     while stack:
-        n, depth = stack.pop()
+        n, depth, kept = stack.pop()
         if isinstance(n, str):
             # between blocks of a fragment, line breaks are the writer's own
-            out.append(re.sub(r"[ \t\r\f]+", " ", n) if depth <= 1 and n.count("\n") and n.strip() else re.sub(r"\s+", " ", n))
-        elif n.name in _GONE or (n.chars and n.density < threshold and n.link_chars > 0.6 * n.chars and n.name in _BLOCK and n.name not in ("li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6") and n.link_tags > 1):
+            if kept:
+                out.append(re.sub(r"[ \t\r\f]+", " ", n) if depth <= 1 and n.count("\n") and n.strip() else re.sub(r"\s+", " ", n))
             continue
+        kept = kept or n.content
+        if n.name in _GONE:
+            continue
+        if not kept or n.name == "#run":
+            if not kept and n.name in _BLOCK:
+                out.append("\n\n")
+            stack.extend((c, depth + (n.name != "#run"), kept) for c in reversed(n.children))
         elif n.name == "br":
             out.append("\n")
         elif n.name == "hr":
@@ -169,13 +233,9 @@ def render(node: Node, threshold: float) -> str:
             mark = "\n- " if n.name in ("li", "dd") else "\n\n" if n.name in _BLOCK else "`" if n.name in ("code", "tt") else ""
             close = "`" if mark == "`" else "\n\n" if n.name in _BLOCK and n.name not in ("li", "dd") else ""
             out.append(mark)
-            if depth < 400:
-                stack.append((close, depth) if not close.strip() else ("`", depth))
-                stack.extend((c, depth + 1) for c in reversed(n.children))
-            else:
-                out.append(inline(n))
-    text = "".join(x if x in ("\n", "\n\n", "`") or x.startswith("\n") else x for x in out)
-    return _tidy(text)
+            stack.append((close, 2, True) if not close.strip() else ("`", 2, True))
+            stack.extend((c, depth + 1, True) for c in reversed(n.children))
+    return _tidy("".join(out))
 
 
 def _raw(node: Node) -> str:
@@ -204,36 +264,28 @@ def from_html(text: str) -> str:
     if "lt;" in text:
         text = _ESCAPED_TAG.sub(lambda m: f"<{m.group(1)}>" if _ESCAPED_NAME.match(m.group(1)).group(1).lower() in TAGS else m.group(), text)
     if not (any(m.group(2).lower() in TAGS for m in _TAG.finditer(text)) or _COMMENT.search(text)):
-        return re.sub(r"[   ]", " ", html.unescape(text))
+        return _BLANKS.sub(" ", html.unescape(text))
     # a sign that opens no tag stays a sign
     text = re.sub(r"<(?![A-Za-z/!?])", "&lt;", text)
     root = tree_of(_COMMENT.sub("", text))
+    box(root)
     measure(root)
-    node, threshold = content_of(root)
-    while node.parent and (node.parent.chars == node.chars or _kept_outside(node)):
-        node = node.parent
-    return re.sub(r"[   ]", " ", render(node, threshold))
-
-
-def _kept_outside(node: Node) -> bool:
-    """Whether text beside the chosen subtree is no page furniture: not mostly links."""
-    p = node.parent
-    outside, links = p.chars - node.chars, p.link_chars - (node.chars if node.name == "a" else node.link_chars)
-    return outside > 0 and links <= 0.5 * outside
+    mark_content(root)
+    return _BLANKS.sub(" ", render(root))
 
 
 # ---- the others --------------------------------------------------------------------------------------
 
 _LATEX = re.compile(
     r"\\(?:begin|end)\{[A-Za-z]+\*?\}|(?<![\w:\\])\\[A-Za-z]+\*?(?:\[[^\]\n]*\])?\{|~\\[a-z]+\{|\\(?:item|hline|maketitle|tableofcontents|noindent|newline|par|centering|toprule|midrule|bottomrule)\b"
-    r"|\\\([^\n]{1,300}?\\\)|\\\[[^\n]{1,300}?\\\]|\$\$[^$]{1,400}\$\$|(?<![\w$])\$(?=[^\s$])[^$\n]{0,200}[\\^_][^$\n]{0,200}(?<=[^\s$])\$(?![\w$])|(?<=\S)~?\\(?:cite|ref|label|footnote)\b"
+    r"|\\\((?:(?!\\[()])[^\n])+\\\)|\\\[(?:(?!\\[\[\]])[^\n])+\\\]|\$\$[^$]+\$\$|(?<![\w$])\$(?=[^\s$])(?=[^$\n\\^_]*[\\^_])[^$\n]*(?<=[^\s$])\$(?![\w$])|(?<=\S)~?\\(?:cite|ref|label|footnote)\b"
 )
 _WIKI = re.compile(
     r"\[\[[^\[\]\n]+\]\]|\{\{[^{}]+\}\}|^\{\|.*$|^\|\}|^\|-\s*$|^={2,6}[^=\n].*?[^=\n]?={2,6}[ \t]*$|'''?[^'\n]+?'''?(?!')|\[(?:https?:)?//[^\s\]]+ [^\]\n]+\]|^#REDIRECT\b|__(?:TOC|NOTOC|FORCETOC|NOEDITSECTION)__|</?(?:ref|nowiki|references|gallery)\b[^>]*>",
     re.M,
 )
 _MARKDOWN = re.compile(
-    r"^ {0,3}#{1,6}[ \t]+(?!\[\[)\S|(?<![\w*\\])\*\*(?=\S)[^*\n]+?(?<=\S)\*\*(?!\*)|(?<![\w*\\])\*(?=[^\s*])[^*\n]{1,200}?(?<=[^\s*])\*(?![\w*])|(?<!\w)__(?=\S)[^_\n]+?(?<=\S)__(?!\w)|(?<![\w_])_(?=[^\s_])[^_\n]{1,200}?(?<=[^\s_])_(?![\w_])"
+    r"^ {0,3}#{1,6}[ \t]+(?!\[\[)\S|(?<![\w*\\])\*\*(?=\S)[^*\n]+?(?<=\S)\*\*(?!\*)|(?<![\w*\\])\*(?=[^\s*])[^*\n]+?(?<=[^\s*])\*(?![\w*])|(?<!\w)__(?=\S)[^_\n]+?(?<=\S)__(?!\w)|(?<![\w_])_(?=[^\s_])[^_\n]+?(?<=[^\s_])_(?![\w_])"
     r"|!?\[[^\]\[\n]*\]\([^()\s]*(?:\([^()\s]*\)[^()\s]*)?(?:\s+\"[^\"\n]*\")?\)|^ {0,3}(?:```|~~~)|(?<!`)`[^`\n]+`(?!`)|~~(?=\S)[^~\n]+(?<=\S)~~|^ {0,3}>[ \t]+\S|^\S[^\n]*\n={3,}[ \t]*$|^[^\s|\-+][^\n|]*\n-{3,}[ \t]*$|^\|?[ \t]*:?-{2,}:?[ \t]*(?:\|[ \t]*:?-{2,}:?[ \t]*)+\|?[ \t]*$"
     r"|^\[[^\]\n]+\]:[ \t]+\S+|\[\^[\w-]+\]|<https?://[^\s>]+>|^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]",
     re.M,
