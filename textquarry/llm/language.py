@@ -44,7 +44,7 @@ PAIRS = tuple(p for f in FAMILIES.values() for p in combinations(f, 2))
 LEAST_SHARE = 0.2
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
-_DROP = re.compile(r"```.*?(?:```|$)|<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|&(?:amp;)?lt;/?[A-Za-z][^<>]{0,200}?&(?:amp;)?gt;|&#?\w{2,8};|https?://\S+|\S+@\S+|\$\$.*?\$\$|\$[^$\n]{1,120}\$|\\(?:begin|end)\{[^}]*\}|\\[A-Za-z]+\*?|\{\{[a-z]+\b|\{\|[^\n]*|\[\[[A-Z]\w+:", re.S)
+_DROP = re.compile(r"```.*?(?:```|$)|<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:amp;)?lt;/?[A-Za-z](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*&(?:amp;)?gt;|&#?\w{2,31};|https?://\S+|\S+@\S+|\$\$.*?\$\$|\$(?![\s\d])[^$\n]+(?<!\s)\$(?!\w)|\\(?:begin|end)\{[^}]*\}|\\[A-Za-z]+\*?|\{\{[a-z]+\b|\{\|[^\n]*|\[\[[A-Z]\w+:", re.S)
 _MARKED = re.compile(r"[<&`$\\\\{\[@]|://")
 _ENDS = ("!", "?", "…", "\t", "|", "\r", ";", ". ", ".\n", '."', ".”")
 

@@ -28,7 +28,7 @@ LEAST_SHARE = 0.5
 LEAST_RARE = 0.5
 
 _WORD = re.compile(r"[^\W_]+")
-_DROP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,300}>|&(?:amp;)?lt;/?[A-Za-z].{0,200}?&(?:amp;)?gt;|&#?\w{2,8};|\\[A-Za-z]+\*?|\]\([^()\s]*\)", re.S)
+_DROP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:amp;)?lt;/?[A-Za-z](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*&(?:amp;)?gt;|&#?\w{2,31};|\\[A-Za-z]+\*?|\]\([^()\s]*\)", re.S)
 _MARKED = re.compile(r"[<&\\\]]")
 _SENTENCE = re.compile(r"[^.?!]+[.?!]*")
 

@@ -35,8 +35,8 @@ STOPS = frozenset(w for ws in COMMON.values() for w in ws.split())
 FURNITURE = frozenset("home menu login logout share top next previous newer older back about us contact archive feed search sign register help privacy terms cookies page subscribe tags rss sitemap faq print tweet skip navigation".split())
 
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W\d_]+)*")
-_TAG = re.compile(r"</?[A-Za-z][^<>]{0,300}>|&(?:lt|gt|amp|nbsp|quot|#\d+|#x[0-9a-fA-F]+|[a-z]{2,8});|<!--.*?-->", re.S)
-_ESCAPED = re.compile(r"&(?:amp;)?lt;\s*(/?[A-Za-z!][^&<>]{0,300}?)&(?:amp;)?gt;")
+_TAG = re.compile(r"</?[A-Za-z][^<>]*>|&(?:lt|gt|amp|nbsp|quot|#\d+|#x[0-9a-fA-F]+|[a-z]{2,8});|<!--.*?-->", re.S)
+_ESCAPED = re.compile(r"&(?:amp;)?lt;\s*(/?[A-Za-z!](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*)&(?:amp;)?gt;")
 _BREAK = re.compile(r"(?i)</?(?:li|tr|p|div|ul|ol|table|h[1-6]|br|hr|dt|dd|section|article|blockquote)\b[^<>]*>")
 _CELL = re.compile(r"(?i)</(?:td|th)\s*>\s*(?:<(?:td|th)\b[^<>]*>)?")
 _LI = re.compile(r"(?i)<(?:li|dt|dd)\b[^<>]*>")
