@@ -29,6 +29,30 @@ def test_mixture_finds_the_kinds(spark):
     assert [got[i] for i in range(len(texts))] == want
 
 
+def test_the_mixture_decides(spark, monkeypatch):
+    texts = [PROSE + f" Number {i} came late, but it was there." for i in range(30)] + ["\n".join(f"- entry {i} of {j}" for j in range(8)) for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    fit = shape.fit_mixture
+
+    def swapped(stats):
+        m = fit(stats)
+        m.kinds = [{"prose": "table", "list": "junk"}.get(k, k) for k in m.kinds]
+        return m
+
+    monkeypatch.setattr(shape, "fit_mixture", swapped)
+    got = {r.doc_id: r.kind for r in shape.shapes(df).collect()}
+    assert [got[i] for i in range(len(texts))] == ["table"] * 30 + ["junk"] * 10
+
+
+def test_shares_break_ties_alone():
+    half = np.full((2, len(shape.USED)), 0.0)
+    m = shape.Mixture(np.zeros(len(shape.USED)), np.ones(len(shape.USED)), np.array([0.5, 0.5]), half, half + 1, ["prose", "junk"])
+    row = dict.fromkeys(shape.STATS, 0.0) | {"words": 9.0, "list_share": 0.6, "prose_share": 0.4}
+    assert shape.decide(m, np.array([list(row.values())])) == ["list"]
+    m.weights = np.array([0.95, 0.05])
+    assert shape.decide(m, np.array([list(row.values())])) == ["prose"]
+
+
 def test_em_sums_do_not_depend_on_partitions(spark):
     texts = [PROSE[: 40 + 3 * i] for i in range(30)] + ["- a\n- b\n- c\n- d"] * 5
     stats = shape.text_statistics(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))

@@ -6,16 +6,6 @@ import pytest
 from textquarry.llm import encoding, language, leaks, queries, shape, truncation
 
 
-def shares(prose, items, table=0.0, odd=0.0):
-    return (60.0, items, table, prose, odd, *[0.1] * (len(shape.STATS) - 5))
-
-
-def test_component_decides_unless_contradicted():
-    assert shape.confirmed("list", shares(0.52, 0.48)) == "list" and shape.confirmed("prose", shares(0.52, 0.48)) == "prose"
-    assert shape.confirmed("prose", shares(0.47, 0.53)) == "prose"
-    assert shape.confirmed("list", shares(0.6, 0.4)) == "prose" and shape.confirmed("table", shares(0.1, 0.8, 0.1)) == "list"
-
-
 def test_shapes_follow_the_mixture(spark, monkeypatch):
     class AllLists(shape.Mixture):
         def __init__(self):

@@ -2,8 +2,8 @@
 
 Method: a Gaussian mixture is fitted by expectation-maximization on the standardized statistics of all documents
 (each iteration is one distributed pass that sums sufficient statistics), and its components are mapped to the
-four kinds by inspected examples. The component decides the kind; an exact check of the document's own word shares
-overrules it only where they contradict it.
+four kinds by inspected examples. A document is of the kind that its components make most probable; only where that
+probability stays below SURE its own word shares break the tie.
 """
 
 from __future__ import annotations
@@ -205,8 +205,8 @@ USED = STATS[1:]
 KINDS = ("prose", "list", "table", "junk")
 #: Smallest variance of a component, in standardized units: shares are often exactly 0 or 1.
 LEAST_VARIANCE = 0.02
-#: Share of a document's own words below which they contradict the kind of its component: one half, less what a line or two misread may shift.
-LEAST_OWN = 0.45
+#: Probability of a kind below which the mixture is unsure and the document's own word shares break the tie.
+SURE = 0.9
 
 #: Inspected examples, two or three groups for each kind; a group starts one component and names its kind.
 EXAMPLES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -328,10 +328,10 @@ def most_words(s: tuple[float, ...]) -> str:
     return "prose" if own["prose_share"] >= 0.5 else max(shares, key=shares.get)
 
 
-def confirmed(kind: str, s: tuple[float, ...]) -> str:
-    """The component's kind, unless the exact check contradicts it: fewer than LEAST_OWN of the document's own words are of it."""
-    own = dict(zip(STATS, s, strict=True))
-    return kind if own["odd_share" if kind == "junk" else f"{kind}_share"] >= LEAST_OWN else most_words(s)
+def decide(model: Mixture, x: np.ndarray) -> list[str]:
+    """The kind of each row of STATS: the most probable one, probabilities of components of one kind being added."""
+    by = model.responsibilities(x[:, 1:])[0] @ np.array([[float(kind == k) for k in KINDS] for kind in model.kinds])
+    return [KINDS[j] if p >= SURE else most_words(tuple(row)) for j, p, row in zip(by.argmax(1), by.max(1), x, strict=True)]
 
 
 _OUT = pa.schema([("doc_id", pa.int64())] + [(n, pa.float64()) for n in STATS])
@@ -363,9 +363,8 @@ def shapes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             known = ~np.isnan(x[:, 0])
             kinds: list[str | None] = [None] * len(x)
             if known.any():
-                best = model.responsibilities(x[known][:, 1:])[0].argmax(1)
-                for i, j, row in zip(np.flatnonzero(known), best, x[known], strict=True):
-                    kinds[i] = confirmed(model.kinds[j], tuple(row))
+                for i, kind in zip(np.flatnonzero(known), decide(model, x[known]), strict=True):
+                    kinds[i] = kind
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(kinds, pa.string())], names=[*b.schema.names, "kind"])
 
     return stats.mapInArrow(run, stats.schema.simpleString()[7:-1].replace(":", " ") + ", kind string")
