@@ -46,11 +46,57 @@ def test_long_block_at_the_end_is_no_last_sentence(spark):
     text = "We walked along the river for an hour before it began to rain. Nobody had brought a coat, so we waited under the bridge.\n"
     inner = "because the old mill was closed for the winter and " * 200
     blocks = [f"<!-- {inner}-->", f"<!-- {inner[:500]}-->", "then we went home because the"]
-    assert len(inner) > 2 * truncation.ENDING
+    assert len(inner) > 10_000
     df = spark.createDataFrame([(i, text + b, "s") for i, b in enumerate(blocks)], "doc_id long, text string, source string")
     assert [r.doc_id for r in truncation.unfinished(df).collect()] == [2]
 
 
+def test_ends_of_any_length_are_judged_whole(spark):
+    start = "The index sorted the weekly reports after the second review. The archive kept the raw pages with great care. "
+    rows = [start] * 6
+    long = "The clerk saw " + ", ".join(f"paper {i} of box {i * i} on shelf {i + 7}" for i in range(80))
+    assert len(long) > 2000
+    rows += [start + long + ", and the archive kept the", start + long + ", and the archive kept the raw pages with great care"]  # the first is cut, in a sentence of over 2,000 characters
+    signs = " --*" * 3000  # 12,000 characters without a word behind the last one
+    rows += [start + "The archive kept the" + signs, start + "The archive kept the raw pages." + signs]
+    table = "".join(f"\n| {i} | {i * 3} | {i * 7} |" for i in range(900))  # the words of the text are those of its table
+    assert len(table) > 10_000
+    rows += [start + table, start + "The archive kept the" + table]
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(rows)], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in truncation.truncated(df).collect()) == [6, 8]
+
+
+def test_truncation_is_sql_throughout(spark):
+    df = spark.createDataFrame([(1, "The archive kept the", "s"), (2, "The archive kept the old letters.", "s")], "doc_id long, text string, source string")
+    plans = []
+    run = truncation._run
+
+    def seen(*args, **tables):
+        plans.append(run(*args, **tables))
+        return plans[-1]
+
+    truncation._run = seen
+    try:
+        truncation.unfinished(df).collect()
+    finally:
+        truncation._run = run
+    assert len(plans) >= 6 and not any(x in p._jdf.queryExecution().executedPlan().toString() for p in plans for x in ("Python", "MapIn", "Pandas", "CartesianProduct", "NestedLoop"))
+
+
+@pytest.mark.parametrize(
+    ("prose", "text"),
+    [
+        (True, "We walked along the river for an hour before it began"), (True, "the old mill was closed for the winter and nobody knew why\nwe asked the owner about it after the meeting was over"), (True, "Take these:\n- milk\n- bread\nWe walked along the river for an hour before it began to rain. Nobody had brought a coat, so we"),
+        (False, "- milk\n- bread\n- two apples\n- some tea"), (False, "the milk\nthe bread\ntwo apples\nsome tea\nfive eggs"), (False, "<ul><li>the milk</li><li>bread</li><li>some tea</li></ul>"), (False, "the milk; two apples; some tea; the bread\nfive eggs; a jar of honey; the flour"),
+        (False, "a\tb\tc\nx\t1\t2\ny\t3\t4"), (False, "| a | b |\n|---|---|\n| x | 1 |\n| y | 2 |"), (False, "{|\n! a !! b !! c\n|-\n| x || 1 || 2\n|}"), (False, "<table><tr><td>a</td><td>b</td><td>c</td></tr><tr><td>1</td><td>2</td><td>3</td></tr></table>"),
+        (False, "xkqzv wrtplk bbvcn zzkqpw mnrtvb qqwrtz kjhgfd lkmnbv"), (False, "Home | Login | About us | Top | Search"), (False, "cat tree cat tree tree house cat tree house house cat tree cat tree house cat"), (False, "2025-01-01 10:00:00 INFO worker=3 rc=0\n2025-01-01 10:00:05 WARN worker=4 rc=1"), (False, "4377 5163497 37 6046345 9495807"),
+    ],
+)
+def test_prose_in_sql(spark, prose, text):
+    df = spark.createDataFrame([(1, "s", len(text), len(text), text)], "doc_id long, source string, chars int, bytes int, text string")
+    assert truncation._run(spark, truncation.PROSE.replace("{plain}", truncation._plain("text")), ends=df).count() == prose
+
+
 @pytest.mark.parametrize(("before", "after"), [("Für größere Übungen prüfen Ärzte böse Füchse. " * 5, ""), ("", " Für größere Übungen prüfen Ärzte böse Füchse." * 5), ("À la fin, voilà là où ça va très bien, à côté. ", " Là, déjà à l’été.")])
 def test_offsets_of_leaks_in_unevenly_damaged_text(before, after):
     passage = "which river flows through the largest city of the northern province near the old harbour"

@@ -1,6 +1,6 @@
 """Texts cut off by field limits or in transfer.
 
-Method, in SQL throughout: word trigrams are counted over all texts, inside sentences and at their ends. The last
+Method, in SQL throughout, over whole texts: word trigrams are counted over all texts, inside sentences and at their ends. The last
 trigram of every text that stops without an end mark is joined with these counts: frequent inside and almost never at
 an end means that the sentence was going on. A last word that is only the beginning of the words that usually follow
 means that the word was. Lengths at which a source stops again and again tell its field limits.
@@ -8,14 +8,10 @@ means that the word was. Lengths at which a source stops again and again tell it
 
 from __future__ import annotations
 
-from functools import reduce
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
 
-from textquarry.llm.shape import kind_of
+from textquarry.llm.shape import FURNITURE
 from textquarry.runtime import materialize
 
 #: A trigram (or a pair of words, where the trigram is rarer) is frequent from this count inside sentences.
@@ -24,10 +20,10 @@ FREQUENT = 3
 RARELY_ENDS = 0.1
 #: Texts of exactly one length that make it a field limit of their source, as a count and as a share.
 LIMIT_TEXTS, LIMIT_SHARE = 5, 0.04
-#: Characters from the end in which markup after the last words is cleared, unless a block may begin before them.
-ENDING = 4000
-#: What begins a block of markup; a longer text that holds one of these is cleared as a whole.
-OPENERS = ("<style", "<script", "<!--", "```", "\\begin{")
+#: A cut at the last blank before a limit, or a note put behind it, moves the end of a text by so many characters at most.
+NEAR_LIMIT = 60
+#: A last line of so many characters at most is a heading, entry or name, which a writer may end without a mark.
+BRIEF_LINE = 44
 
 _TOKEN = r"[\\p{L}\\p{N}]+(?:[\\x27’-][\\p{L}\\p{N}]+)*|[.!?\\n]"
 _MARKS = "('.', '!', '?', '\\n')"
@@ -55,7 +51,7 @@ _CLEAN = (
     (r"<ref[^>]*>.*?</ref>", ""),
     (r"(?:https?://|www\\.)\\S+|[^\\s@]+@[^\\s@]+\\.\\w+", "."),
     (r"</?[A-Za-z][^<>]*>", ""),
-    (r"&(?:amp;)?lt;/?[A-Za-z].{0,200}?&(?:amp;)?gt;", ""),
+    (r"&(?:amp;)?lt;/?[A-Za-z](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*&(?:amp;)?gt;", ""),
 )
 
 
@@ -66,25 +62,83 @@ def _cleaned(column: str) -> str:
     return f"case when {column} rlike '[<`\\\\[\\\\\\\\@]|://|www|lt;' then {out} else {column} end"
 
 
+_WORD = r"[\\p{L}\\p{N}]+(?:[\\x27’-]\\p{L}+)*"
+#: Both are looked for in a text read backwards, where its end comes first and patterns need no search.
+_DOTS = r"^[\\])\\s]*+(?:…|\\.\\.\\.)"
+_ENDED = r"^[^\\p{L}\\p{N}]*?(?:.?€â)?[.!?]"
+
 #: Texts whose end, as it stands, is no end of a sentence.
-OPEN_ENDED = r"""
-select doc_id, source, length(text) as chars, octet_length(text) as bytes, text from {docs}
-where text is not null and (right(text, 60) rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' or not right(text, 60) rlike '[.!?](?:â€.?)?[^\\p{L}\\p{N}]*$')
+OPEN_ENDED = rf"""
+select doc_id, source, length(text) as chars, octet_length(text) as bytes, text from {{docs}}
+where text is not null and (reverse(text) rlike '{_DOTS}' or not reverse(text) rlike '{_ENDED}')
 """
 
+#: (pattern of tags, what it leaves for lines and cells)
+_TAGS = (
+    (r"&(?:amp;)?lt;(/?[A-Za-z!](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*)&(?:amp;)?gt;", "<$1>"),
+    (r"(?s)<!--.*?-->", " "),
+    (r"(?i)<(?:li|dt|dd)\\b[^<>]*>", r"\n- "),
+    (r"(?i)</t[dh]\\s*>\\s*(?=<t[dh])", r"\t"),
+    (r"(?i)</?(?:li|tr|p|div|ul|ol|table|h[1-6]|br|hr|dt|dd|section|article|blockquote)\\b[^<>]*>", r"\n"),
+    (r"</?[A-Za-z][^<>]*>|&#?\\w{2,31};", " "),
+)
+_SET_UP = r"^\\s*(?:\\{\\||\\|\\}|\\|-|\\|?[\\s:|-]+\\|?$|\\\\(?:begin|end)\\{[^}]*\\}.*$|\\\\hline|\\\\(?:top|mid|bottom)rule|```\\w*$)"
+_MARK = r"^\\s*(?:[-*+•·–—▪◦‣o]\\s+|\\*+\\s*|#+\\s*(?=\\[\\[)|\\(?\\d{1,3}[.)\\]:]\\s+|\\(\\d{1,3}\\)|\\(?[A-Za-zа-я][.)]\\s+|\\[\\d{1,3}\\]\\s+|\\\\item\\b|[ivxIVX]{1,5}[.)]\\s+|[A-Z]\\d?[.:]\\s+|\\[[ xX]\\]\\s+)"
+_ENDS = r"[.!?…。][\\x27\"”’»)\\]*_~]*\\s*(?:\\\\\\\\|\\[\\d+\\]|~?\\\\cite\\{[^}]*\\})?\\s*$"
+_LOG = r"\\b\\w+=[\\w./:-]+|\\d{4}-\\d\\d-\\d\\d[ T]\\d\\d:\\d\\d|\\b(?:INFO|WARN|ERROR|DEBUG)\\b"
+_FURNITURE = rf"(?i)\\b(?:{'|'.join(sorted(FURNITURE))})\\b"
+_HEADING = r"^\\s*(?:#{1,6}\\s|={2,}.*={2,}\\s*$|\\\\(?:sub)*section)"
+#: Words that no language has: overlong, letters among digits, or six consonants in a row.
+_ODD = r"(?i)(?<![\\p{L}\\p{N}])(?=[\\p{L}\\p{N}]{5})(?:[\\p{L}\\p{N}]{23,}|(?=\\p{L}*\\p{N}+\\p{L}|\\p{L}+\\p{N})[\\p{L}\\p{N}]+|\\p{L}*[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщъь]{6}\\p{L}*)"
+
+#: What a line x is by its signs and words, as in problem 4: a row of cells, an entry, a short line, running text or odd.
+_LINE_KIND = rf"""case
+ when regexp_count(x, '{_LOG}') >= 2 or (x rlike '^[^\\p{{L}}\\t|,;]*$' and not x rlike ' {{2,}}') then 'odd'
+ when not x rlike '{_ENDS}' and regexp_count(x, '{_FURNITURE}') >= 0.25 * regexp_count(x, '{_WORD}') then 'odd'
+ when regexp_count(x, '\\|') >= 2 or x rlike '\\|\\||!!|^\\s*\\|' or x rlike '\\s&\\s.*(?:\\\\\\\\|\\\\hline)\\s*$' then 'table'
+ when trim(x) like '%\t%' and regexp_count(x, '{_WORD}') < 8 * (1 + regexp_count(trim(x), '\\t+')) then 'table'
+ when x rlike '{_ENDS}' then if(x rlike '{_MARK}' and regexp_count(x, '{_WORD}') <= 9, 'list', 'prose')
+ when regexp_count(trim(x), '(?<=\\S) {{2,}}(?=\\S)') >= 2 and regexp_count(trim(x), ' {{2,}}') * 2 >= regexp_count(trim(x), '(?<! ) (?! )') then 'table'
+ when greatest(regexp_count(x, ',(?! )'), regexp_count(x, ';(?! )')) >= 2 and not x rlike '[,;] ' then 'table'
+ when x rlike '{_MARK}' and regexp_count(x, '{_WORD}') <= 16 then 'list'
+ when regexp_count(x, '; ') >= 2 and not exists(split(x, ';'), z -> size(split(trim(z), '\\s+')) > 8) then 'list'
+ when x rlike '{_HEADING}' then 'prose'
+ when regexp_count(x, '{_WORD}') <= 7 then 'short' else 'prose' end"""
+
+#: Texts most of whose words run in sentences; four and more short lines are an enumeration. Few different words, many
+#: odd ones or page furniture make a text junk.
+PROSE = rf"""
+select doc_id, source, chars, bytes, text
+from (select *, aggregate(lines, 0, (a, y) -> a + y.w) as n, size(filter(lines, y -> y.k = 'short')) as short_lines, regexp_extract_all(lower(plain), '{_WORD}', 0) as words
+      from (select *, transform(filter(split(plain, '[\\r\\n]+'), x -> x rlike '\\S' and not x rlike '{_SET_UP}'),
+                                x -> named_struct('k', {_LINE_KIND}, 'w', if(x rlike '\\p{{L}}', regexp_count(x, '{_WORD}'), size(split(trim(x), '\\s+'))))) as lines
+            from (select *, {{plain}} as plain from {{ends}})))
+where n > 0 and aggregate(filter(lines, y -> y.k = 'prose' or (y.k = 'short' and short_lines < 4)), 0, (a, y) -> a + y.w) >= 0.5 * n
+  and regexp_count(plain, '{_ODD}') <= 0.3 * size(words) and regexp_count(plain, '{_FURNITURE}') <= 0.3 * size(words)
+  and not (size(words) >= 12 and size(array_distinct(words)) <= 8 and size(array_distinct(words)) < 0.4 * size(words))
+"""
+
+
+def _plain(column: str) -> str:
+    out = column
+    for pattern, new in _TAGS:
+        out = f"regexp_replace({out}, '{pattern}', '{new}')"
+    return f"case when {column} rlike '<[A-Za-z/!]|&[a-z#]' then {out} else {column} end"
+
+
 #: The last words of texts that stop without an end mark, or with the dots that some writers of fields put after a cut.
-#: Only the end of a text is looked at; a sentence is shorter than ENDING characters.
+#: The text without markup is read backwards: its last tokens come first, however long the text or its last sentence is.
 #: Each view holds a value that is worked out once, however often it is used.
 FINALS = rf"""
 select doc_id, source, chars, bytes,
        case when size(t) < 3 or get(t, size(t) - 2) in {_MARKS} or get(t, size(t) - 3) in {_MARKS} then '¶' else get(t, size(t) - 3) end as w1,
        case when size(t) < 2 or get(t, size(t) - 2) in {_MARKS} then '¶' else get(t, size(t) - 2) end as w2, get(t, size(t) - 1) as w3,
        tail rlike '(?:^|\\n)[^\\p{{L}}\\p{{N}}\\n]*[\\p{{L}}\\p{{N}}\\x27’-]+[^\\p{{L}}\\p{{N}}\\n]*$' as alone,
-       tail rlike '\\n[^\\n]{{0,44}}$' as brief
-from (select *, right(body, 60) as last from {{ends}} lateral view explode(array(regexp_replace({{clean}}, '\\s+$', ''))) as body)
-lateral view explode(array(regexp_replace(right(body, 600), '[^\\p{{L}}\\p{{N}}]+$', ''))) as tail
+       back rlike '^[^\\p{{L}}\\p{{N}}]*+[^\\n]{{0,{BRIEF_LINE}}}\\n' as brief
+from {{ends}} lateral view explode(array(reverse(trim(trailing ' \t\n\r\u000b\u000c' from {{clean}})))) as back
+lateral view explode(array(reverse(regexp_extract(back, '^[^\\p{{L}}\\p{{N}}]*+((?:[^.!?\\n\\p{{L}}\\p{{N}}]*+(?:[\\p{{L}}\\p{{N}}]++(?:[\\x27’-][\\p{{L}}\\p{{N}}]++)*+|[.!?\\n])){{1,6}})', 1)))) as tail
 lateral view explode(array(regexp_extract_all(lower(tail), '{_TOKEN}', 0))) as t
-where (last rlike '(?:…|\\.\\.\\.)[\\])\\s]*$' or not last rlike '[.!?](?:â€.?)?[^\\p{{L}}\\p{{N}}]*$') and size(t) > 0 and get(t, size(t) - 1) not in {_MARKS}
+where (back rlike '{_DOTS}' or not back rlike '{_ENDED}') and size(t) > 0 and get(t, size(t) - 1) not in {_MARKS}
 """
 
 #: Lengths, in characters and in bytes, beyond which hardly a text of a source goes and at which many of them stop.
@@ -100,23 +154,30 @@ from lengths l join most m on l.source = m.source group by l.source
 #: Trigrams that begin like a final one: all that its own count and the words usual in its place need.
 NEAR = "select t.* from {trigrams} t left semi join (select distinct w1, w2 from {finals}) a on t.w1 = a.w1 and t.w2 = a.w2"
 
+#: What is asked of the counts. Longer words in a final word's place are found by their beginnings: the beginnings of
+#: words, of the lengths that final words have, are written out once and joined as equal keys.
 JUDGED = """
 with bigrams as (select w2, w3, sum(inside) as inside, sum(ends) as ends from {trigrams} group by w2, w3),
      words as (select w3, sum(inside) as inside, sum(ends) as ends from {trigrams} group by w3),
      asked as (select distinct w1, w2, w3 from {finals}),
-     longer as (select a.w1, a.w2, a.w3, sum(t.inside + t.ends) as n from asked a join {near} t
-                on a.w1 = t.w1 and a.w2 = t.w2 and left(a.w3, 1) = left(t.w3, 1) and startswith(t.w3, a.w3) and t.w3 <> a.w3 group by a.w1, a.w2, a.w3),
-     longer_pairs as (select a.w2, a.w3, sum(b.inside + b.ends) as n from (select distinct w2, w3 from asked where w2 <> '¶') a join bigrams b
-                      on a.w2 = b.w2 and left(a.w3, 1) = left(b.w3, 1) and startswith(b.w3, a.w3) and b.w3 <> a.w3 group by a.w2, a.w3),
+     asked_pairs as (select distinct w2, w3 from {finals} where w2 <> '¶'),
+     longer as (select b.w1, b.w2, b.w3, sum(b.n) as n
+                from (select w1, w2, inside + ends as n, explode(transform(filter({lengths}, k -> k < length(w3)), k -> left(w3, k))) as w3 from {near}) b
+                left semi join asked a on a.w1 = b.w1 and a.w2 = b.w2 and a.w3 = b.w3 group by b.w1, b.w2, b.w3),
+     longer_pairs as (select b.w2, b.w3, sum(b.n) as n
+                      from (select p.w2, inside + ends as n, explode(transform(filter({lengths}, k -> k < length(p.w3)), k -> left(p.w3, k))) as w3
+                            from bigrams p left semi join (select distinct w2 from asked_pairs) s on p.w2 = s.w2) b
+                      left semi join asked_pairs a on a.w2 = b.w2 and a.w3 = b.w3 group by b.w2, b.w3),
      unknown as (select a.w3 from (select distinct w3 from asked where length(w3) >= 3) a left anti join words w on a.w3 = w.w3),
-     longer_words as (select u.w3, sum(w.inside + w.ends) as n from unknown u join words w on left(u.w3, 3) = left(w.w3, 3) and startswith(w.w3, u.w3) group by u.w3)
+     longer_words as (select b.w3, sum(b.n) as n from (select inside + ends as n, explode(transform(filter({lengths}, k -> k >= 3 and k < length(w3)), k -> left(w3, k))) as w3 from words) b
+                      left semi join unknown u on u.w3 = b.w3 group by b.w3)
 select f.doc_id, f.source,
        not f.alone and (case when coalesce(t.inside, 0) + coalesce(t.ends, 0) >= {frequent} then t.inside >= {frequent} and t.ends <= {rarely} * t.inside
                              else coalesce(b.inside >= {frequent} and b.ends <= {rarely} * b.inside and f.w2 <> '¶', false) end) as in_sentence,
        coalesce(l.n >= {frequent} and coalesce(t.inside, 0) + coalesce(t.ends, 0) < {rarely} * l.n, false)
          or (not f.alone and coalesce(l.n, 0) < {frequent} and coalesce(p.n >= {frequent} and coalesce(b.inside, 0) + coalesce(b.ends, 0) < {rarely} * p.n, false))
          or (not f.alone and f.w1 <> '¶' and coalesce(u.n >= {frequent}, false)) as in_word,
-       not f.brief and coalesce((m.by_chars and f.chars <= m.chars_limit and f.chars > m.chars_limit - 60) or (m.by_bytes and f.bytes <= m.bytes_limit and f.bytes > m.bytes_limit - 60), false) as at_limit
+       not f.brief and coalesce((m.by_chars and f.chars between m.chars_limit - {window} + 1 and m.chars_limit) or (m.by_bytes and f.bytes between m.bytes_limit - {window} + 1 and m.bytes_limit), false) as at_limit
 from {finals} f
 left join {near} t on f.w1 = t.w1 and f.w2 = t.w2 and f.w3 = t.w3
 left join bigrams b on f.w2 = b.w2 and f.w3 = b.w3
@@ -135,31 +196,25 @@ def _run(spark: SparkSession, sql: str, **tables: DataFrame) -> DataFrame:
     return spark.sql(sql, **tables)
 
 
-@F.pandas_udf(StringType())
-def _kind(texts: pd.Series) -> pd.Series:
-    return texts.map(kind_of)
-
-
-_kind = _kind.asNondeterministic()  # so that it is not moved before the filter that leaves it few texts
-
-
 def unfinished(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, in_sentence, in_word, at_limit of every prose text without an end mark; all three are booleans.
 
-    Lists, tables and junk are left out by an exact check of their own words. Null and blank texts give no row; a null source has no field limit; rows that repeat are judged each by itself, and
+    Lists, tables and junk are left out by the shares of their own words. Null and blank texts give no row; a null source has no field limit; rows that repeat are judged each by itself, and
     count each; other columns are ignored. Sources are compared without letter case and outer blanks.
     """
     spark = df.sparkSession
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(F.trim(F.col(source_col))).alias("source"), F.col(text_col).cast("string").alias("text"))
     trigrams = materialize(_run(spark, TRIGRAMS, docs=docs))
-    ends = _run(spark, OPEN_ENDED, docs=docs).withColumn("kind", _kind("text")).filter("kind = 'prose'")
-    opened = reduce(lambda a, b: a | b, [F.contains("text", F.lit(x)) for x in OPENERS])
-    ending = F.when((F.col("chars") > ENDING) & opened, F.col("text")).otherwise(F.right("text", F.lit(ENDING)))
-    ends = ends.select("doc_id", "source", "chars", "bytes", ending.alias("ending"))
-    finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("ending")), ends=ends))
+    ends = _run(spark, PROSE.replace("{plain}", _plain("text")), ends=_run(spark, OPEN_ENDED, docs=docs))
+    finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("text")), ends=ends))
     limits = materialize(_run(spark, LIMITS.replace("{texts}", str(LIMIT_TEXTS)).replace("{share}", str(LIMIT_SHARE)), docs=docs))
     near = materialize(_run(spark, NEAR, trigrams=trigrams, finals=finals))
-    return _run(spark, JUDGED.replace("{frequent}", str(FREQUENT)).replace("{rarely}", str(RARELY_ENDS)), finals=finals, trigrams=trigrams, near=near, limits=limits)
+    lengths = finals.agg(F.array_sort(F.collect_set(F.length("w3")))).first()[0]  # different lengths of words
+    fixed = {"frequent": FREQUENT, "rarely": RARELY_ENDS, "window": NEAR_LIMIT, "lengths": f"cast(array({', '.join(map(str, lengths))}) as array<int>)"}
+    sql = JUDGED
+    for name, value in fixed.items():
+        sql = sql.replace("{" + name + "}", str(value))
+    return _run(spark, sql, finals=finals, trigrams=trigrams, near=near, limits=limits)
 
 
 def truncated(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
