@@ -91,31 +91,35 @@ _HEADING = r"^\\s*(?:#{1,6}\\s|={2,}.*={2,}\\s*$|\\\\(?:sub)*section)"
 #: Words that no language has: overlong, letters among digits, or six consonants in a row.
 _ODD = r"(?i)(?<![\\p{L}\\p{N}])(?=[\\p{L}\\p{N}]{5})(?:[\\p{L}\\p{N}]{23,}|(?=\\p{L}*\\p{N}+\\p{L}|\\p{L}+\\p{N})[\\p{L}\\p{N}]+|\\p{L}*[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщъь]{6}\\p{L}*)"
 
-#: What a line x is by its signs and words, as in problem 4: a row of cells, an entry, a short line, running text or odd.
+#: What a line x of so many words is by its signs and words, as in problem 4: a row of cells, an entry, a short line,
+#: running text or odd. The usual case comes first.
 _LINE_KIND = rf"""case
+ when words >= 12 and x rlike '{_ENDS}' and not x rlike '[|\t]| & ' then 'prose'
  when regexp_count(x, '{_LOG}') >= 2 or (x rlike '^[^\\p{{L}}\\t|,;]*$' and not x rlike ' {{2,}}') then 'odd'
- when not x rlike '{_ENDS}' and regexp_count(x, '{_FURNITURE}') >= 0.25 * regexp_count(x, '{_WORD}') then 'odd'
+ when not x rlike '{_ENDS}' and regexp_count(x, '{_FURNITURE}') >= 0.25 * words then 'odd'
  when regexp_count(x, '\\|') >= 2 or x rlike '\\|\\||!!|^\\s*\\|' or x rlike '\\s&\\s.*(?:\\\\\\\\|\\\\hline)\\s*$' then 'table'
- when trim(x) like '%\t%' and regexp_count(x, '{_WORD}') < 8 * (1 + regexp_count(trim(x), '\\t+')) then 'table'
- when x rlike '{_ENDS}' then if(x rlike '{_MARK}' and regexp_count(x, '{_WORD}') <= 9, 'list', 'prose')
- when regexp_count(trim(x), '(?<=\\S) {{2,}}(?=\\S)') >= 2 and regexp_count(trim(x), ' {{2,}}') * 2 >= regexp_count(trim(x), '(?<! ) (?! )') then 'table'
- when greatest(regexp_count(x, ',(?! )'), regexp_count(x, ';(?! )')) >= 2 and not x rlike '[,;] ' then 'table'
- when x rlike '{_MARK}' and regexp_count(x, '{_WORD}') <= 16 then 'list'
- when regexp_count(x, '; ') >= 2 and not exists(split(x, ';'), z -> size(split(trim(z), '\\s+')) > 8) then 'list'
+ when trim(x) like '%\t%' and words < 8 * (1 + regexp_count(trim(x), '\\t+')) then 'table'
+ when x rlike '{_ENDS}' then if(x rlike '{_MARK}' and words <= 9, 'list', 'prose')
+ when x like '%  %' and regexp_count(trim(x), '(?<=\\S) {{2,}}(?=\\S)') >= 2 and regexp_count(trim(x), ' {{2,}}') * 2 >= regexp_count(trim(x), '(?<! ) (?! )') then 'table'
+ when not x rlike '[,;] ' and greatest(regexp_count(x, ',(?! )'), regexp_count(x, ';(?! )')) >= 2 then 'table'
+ when words <= 16 and x rlike '{_MARK}' then 'list'
+ when x like '%; %; %' and not exists(split(x, ';'), z -> size(split(trim(z), '\\s+')) > 8) then 'list'
+ when regexp_count(x, '{_ODD}') > 0.3 * words then 'odd'
  when x rlike '{_HEADING}' then 'prose'
- when regexp_count(x, '{_WORD}') <= 7 then 'short' else 'prose' end"""
+ when words <= 7 then 'short' else 'prose' end"""
 
-#: Texts most of whose words run in sentences; four and more short lines are an enumeration. Few different words, many
-#: odd ones or page furniture make a text junk.
+#: Texts most of whose words run in sentences; four and more short lines are an enumeration, and a few words over and
+#: over are junk. Each view holds a value that is worked out once, however often it is used.
 PROSE = rf"""
 select doc_id, source, chars, bytes, text
-from (select *, aggregate(lines, 0, (a, y) -> a + y.w) as n, size(filter(lines, y -> y.k = 'short')) as short_lines, regexp_extract_all(lower(plain), '{_WORD}', 0) as words
-      from (select *, transform(filter(split(plain, '[\\r\\n]+'), x -> x rlike '\\S' and not x rlike '{_SET_UP}'),
-                                x -> named_struct('k', {_LINE_KIND}, 'w', if(x rlike '\\p{{L}}', regexp_count(x, '{_WORD}'), size(split(trim(x), '\\s+'))))) as lines
-            from (select *, {{plain}} as plain from {{ends}})))
-where n > 0 and aggregate(filter(lines, y -> y.k = 'prose' or (y.k = 'short' and short_lines < 4)), 0, (a, y) -> a + y.w) >= 0.5 * n
-  and regexp_count(plain, '{_ODD}') <= 0.3 * size(words) and regexp_count(plain, '{_FURNITURE}') <= 0.3 * size(words)
-  and not (size(words) >= 12 and size(array_distinct(words)) <= 8 and size(array_distinct(words)) < 0.4 * size(words))
+from {{ends}} lateral view explode(array({{plain}})) as plain
+lateral view explode(array(filter(split(plain, '[\\r\\n]+'), x -> x rlike '\\S' and not x rlike '{_SET_UP}'))) as lines
+lateral view explode(array(transform(lines, x -> if(x rlike '\\p{{L}}', regexp_count(x, '{_WORD}'), size(split(trim(x), '\\s+')))))) as counts
+lateral view explode(array(zip_with(lines, counts, (x, words) -> named_struct('k', {_LINE_KIND}, 'w', words)))) as kinds
+lateral view explode(array(aggregate(counts, 0, (a, w) -> a + w))) as n
+lateral view explode(array(if(n < 12, 99, size(array_distinct(regexp_extract_all(lower(plain), '{_WORD}', 0)))))) as different
+where n > 0 and not (different <= 8 and different < 0.4 * n)
+  and aggregate(filter(kinds, y -> y.k = 'prose' or (y.k = 'short' and size(filter(kinds, z -> z.k = 'short')) < 4)), 0, (a, y) -> a + y.w) >= 0.5 * n
 """
 
 
