@@ -114,3 +114,35 @@ def test_bands():
     assert reading.band_of(reading.reading_level(easy)[0]) == "basic" and reading.band_of(reading.reading_level(hard)[0]) == "advanced"
     assert reading.band_of(reading.reading_level(PROSE + " The committee reported the result later.")[0]) == "middle"
     assert reading.reading_level(None) is None and reading.reading_level("...") is None
+
+
+def test_cut_points_leave_fewest_on_the_wrong_side():
+    rng = np.random.default_rng(3)
+    graded = [("basic", g) for g in rng.normal(0, 0.8, 300)] + [("middle", g) for g in rng.normal(9, 1.5, 500)] + [("advanced", g) for g in rng.normal(28, 3, 300)]
+    graded += [("middle", 0.1), ("middle", 30.0), ("basic", 28.0), ("advanced", 8.0)]  # wrong labels
+    low, high = reading.cut_points(graded)
+    assert 2 < low < 5.5 and 13 < high < 22
+    held = [("basic", g) for g in rng.normal(0, 0.8, 300)] + [("middle", g) for g in rng.normal(9, 1.5, 500)] + [("advanced", g) for g in rng.normal(28, 3, 300)]
+    assert sum(reading.band_of(g, (low, high)) == b for b, g in held) >= 0.98 * len(held)
+    assert reading.cut_points([]) == reading.cut_points([("middle", 5.0)]) == (reading.BASIC, reading.ADVANCED)
+    for below, above in (([1.0, 2.0], [4.0]), ([3.0], [3.0]), ([5.0, 1.0], [3.0, 9.0])):  # against every cut
+        cut = reading.cut_point(below, above)
+        if cut is not None:
+            wrong = lambda c, b=below, a=above: sum(g > c for g in b) + sum(g <= c for g in a)
+            assert wrong(cut) == min(wrong(c) for c in [*below, *above])
+
+
+def test_bands_are_fitted_on_labelled_texts(spark, monkeypatch):
+    easy, plain = "The cat sat. The dog ran. It was fun.", PROSE
+    hard = "Notwithstanding considerable methodological heterogeneity, longitudinal investigations unequivocally demonstrate extraordinary interindividual variability throughout institutional configurations."
+    texts = [t for t in (easy, plain, hard) for _ in range(12)]
+    df = spark.createDataFrame(list(enumerate([*texts, None])), "doc_id long, text string")
+    bands = ["basic"] * 12 + ["middle"] * 12 + ["Advanced "] * 12
+    labels = spark.createDataFrame([*enumerate(bands), (36, "basic"), (99, "middle"), (None, "basic"), (3, None), (5, "middle")], "doc_id long, reading_band string")
+    low, high = reading.fit_bands(df, labels)
+    grade = [reading.reading_level(t)[0] for t in (easy, plain, hard)]
+    assert grade[0] < low < grade[1] < high < grade[2]
+    assert (low, high) == ((grade[0] + grade[1]) / 2, (grade[1] + grade[2]) / 2)
+    monkeypatch.setattr(reading, "BAND_TEXTS", 4)
+    assert reading.fit_bands(df, labels) == (low, high)
+    assert reading.fit_bands(df.limit(0), labels) == reading.fit_bands(df, labels.limit(0)) == (reading.BASIC, reading.ADVANCED)

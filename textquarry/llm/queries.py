@@ -84,8 +84,9 @@ def _reading_levels(spark: SparkSession, sf_dir: str, *bands: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text", "lang")
     model = language.fit_model(docs, "text", "lang")
     papers = spread(table(spark, sf_dir, "papers"), "paper_id", "summary")
-    of_docs = reading.reading_levels(docs, model, "doc_id", "text", bands).select(F.lit("documents").alias("tab"), "*")
-    return of_docs.unionByName(reading.reading_levels(papers, model, "paper_id", "summary", bands).select(F.lit("papers").alias("tab"), "*"))
+    cuts = reading.fit_bands(docs, table(spark, sf_dir, "labels"))
+    of_docs = reading.reading_levels(docs, model, "doc_id", "text", bands, cuts).select(F.lit("documents").alias("tab"), "*")
+    return of_docs.unionByName(reading.reading_levels(papers, model, "paper_id", "summary", bands, cuts).select(F.lit("papers").alias("tab"), "*"))
 
 
 @query

@@ -1,7 +1,8 @@
 """Reading level of English text.
 
 Method: classic readability formulas over sentence length and syllables, with syllables counted by hyphenation-style
-patterns (numbers between letters, odd ones break, the highest wins), and the median of the grade estimates.
+patterns (numbers between letters, odd ones break, the highest wins), and the median of the grade estimates. Where a
+text for beginners ends and one for specialists begins is fitted on a bounded, seeded sample of labelled texts.
 """
 
 from __future__ import annotations
@@ -12,7 +13,8 @@ from functools import lru_cache
 from statistics import median
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
 from textquarry.llm import language
 from textquarry.llm.encoding import repair
@@ -141,8 +143,10 @@ def grades(sents: list[list[str]]) -> tuple[float, ...]:
     )
 
 
-#: Median grades up to which a text is for beginners and from which it is for specialists; read off the labelled bands.
-BASIC, ADVANCED = 2.45, 17.5
+#: Labelled texts of each band, chosen by seeded hash, that the cut points are fitted on at most.
+BAND_TEXTS = 1000
+#: Cut points where there are no labelled texts on both sides: what school grades call beginners and university readers.
+BASIC, ADVANCED = 2.5, 17.0
 
 
 def reading_level(text: str | None) -> tuple[float, int, int] | None:
@@ -157,17 +161,69 @@ def reading_level(text: str | None) -> tuple[float, int, int] | None:
     return median(grades(sents)), len(sents), sum(map(len, sents))
 
 
-def band_of(grade: float) -> str:
-    return "basic" if grade <= BASIC else "advanced" if grade >= ADVANCED else "middle"
+_GRADED = pa.schema([("id", pa.int64()), ("grade", pa.float64())])
+
+
+def cut_point(below: list[float], above: list[float]) -> float | None:
+    """The grade that leaves the fewest grades on the wrong side, in the middle of the widest gap that does; None without grades on both sides.
+
+    A few wrong labels move it little: each counts as one error, however far off it is.
+    """
+    if not below or not above:
+        return None
+    both = sorted([(g, 1) for g in below] + [(g, -1) for g in above])
+    wrong, best = len(below), []
+    for (g, side), (after, _) in zip(both, both[1:], strict=False):
+        wrong -= side
+        if after > g:
+            best.append((wrong, g - after, (g + after) / 2))
+    return min(best)[2] if best else None
+
+
+def cut_points(graded: list[tuple[str, float]]) -> tuple[float, float]:
+    """The grade up to which a text is basic and the one from which it is advanced, of (band, grade)."""
+    basic, middle, advanced = ([g for b, g in graded if b == band] for band in ("basic", "middle", "advanced"))
+    low, high = cut_point(basic, middle + advanced), cut_point(basic + middle, advanced)
+    return BASIC if low is None else low, ADVANCED if high is None else high
+
+
+def fit_bands(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", band_col: str = "reading_band", seed: int = 7) -> tuple[float, float]:
+    """cut_points of at most BAND_TEXTS labelled texts of each band, or all where there are fewer.
+
+    Labels without a known band, of no text or of several bands at once teach nothing; empty tables give the defaults.
+    """
+    named = labels.select(F.col(id_col).cast("long").alias("id"), F.lower(F.trim(band_col)).alias("band")).filter("id is not null and band in ('basic', 'middle', 'advanced')")
+    named = named.groupBy("id").agg(F.min("band").alias("band"), F.max("band").alias("_last")).filter("band = _last").withColumn("h", F.xxhash64(F.lit(seed), "id"))
+    counts = {r.band: r.n for r in named.groupBy("band").agg(F.count("*").alias("n")).collect()}  # three rows
+    keep = F.lit(0)
+    drawn = BAND_TEXTS + 6 * BAND_TEXTS**0.5  # so many more that a draw by rate practically never falls short
+    for band, n in counts.items():
+        keep = F.when(F.col("band") == band, F.lit(min(1_000_000, int(1e6 * drawn / n) + 1))).otherwise(keep)
+    rank = F.row_number().over(Window.partitionBy("band").orderBy("h", "id"))
+    some = named.filter(F.pmod("h", F.lit(1_000_000)) < keep).withColumn("rank", rank).filter(F.col("rank") <= BAND_TEXTS).select("id", "band")
+
+    def make():
+        def f(ids: list, texts: list) -> dict:
+            return {"id": ids, "grade": [(reading_level(t) or (None,))[0] for t in texts]}
+
+        return f
+
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("_t")).join(F.broadcast(some), "id")  # at most 3 x BAND_TEXTS rows
+    graded = map_texts(texts, "id", "_t", _GRADED, "id long, grade double", make, keep=("band",)).filter("grade is not null")
+    return cut_points(sorted((r.band, r.grade) for r in graded.groupBy("id", "band").agg(F.min("grade").alias("grade")).collect()))
+
+
+def band_of(grade: float, cuts: tuple[float, float] = (BASIC, ADVANCED)) -> str:
+    return "basic" if grade <= cuts[0] else "advanced" if grade >= cuts[1] else "middle"
 
 
 _OUT = pa.schema([("rec_id", pa.int64()), ("grade", pa.float64()), ("sentences", pa.int64()), ("words", pa.int64()), ("band", pa.string()), ("english", pa.bool_()), ("running", pa.bool_())])
 
 
-def reading_levels(df: DataFrame, model: language.LanguageModel, id_col: str, text_col: str, bands: tuple[str, ...] = ("basic", "middle", "advanced")) -> DataFrame:
+def reading_levels(df: DataFrame, model: language.LanguageModel, id_col: str, text_col: str, bands: tuple[str, ...] = ("basic", "middle", "advanced"), cuts: tuple[float, float] = (BASIC, ADVANCED)) -> DataFrame:
     """rec_id, grade, sentences, words, band, english (the only language), running (prose, by its own words).
 
-    Only rows of the named bands come out, and none for texts without a single common word of English.
+    Bands end at ``cuts`` (of fit_bands). Only rows of the named bands come out, and none for texts without a single common word of English.
     Null, blank and wordless texts give no row; repeated rows repeat; other columns are ignored.
     """
     shared = df.sparkSession.sparkContext.broadcast(model)
@@ -179,12 +235,12 @@ def reading_levels(df: DataFrame, model: language.LanguageModel, id_col: str, te
             out: dict[str, list] = {n: [] for n in _OUT.names}
             rows = []
             for i, t in zip(ids, texts, strict=True):
-                if t and _SOME_ENGLISH.search(t) and (r := reading_level(t)) and band_of(r[0]) in bands:
+                if t and _SOME_ENGLISH.search(t) and (r := reading_level(t)) and band_of(r[0], cuts) in bands:
                     rows.append((i, t, r))
             judged = language.judge(m, [t for _, t, _ in rows])
             for j, (i, t, (grade, k, n)) in enumerate(rows):
                 english = list(judged.shares(j)) == ["en"]
-                band = band_of(grade)
+                band = band_of(grade, cuts)
                 running = kind_of(t) == "prose" if english and band != "middle" else None
                 for name, v in zip(_OUT.names, (i, grade, k, n, band, english, running), strict=True):
                     out[name].append(v)
