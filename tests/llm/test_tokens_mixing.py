@@ -25,6 +25,14 @@ def small():
     return tokens.Vocabulary([*letters, b"ab", b"bc", b"abc", b"aa", b"aab", b"ca", b"cab", b"bb", b"abab", b" a", b" ab"])
 
 
+def test_counters_are_known_by_their_vocabulary():
+    class Shared:
+        def __init__(self, *parts):
+            self.value = tokens.Vocabulary([bytes([i]) for i in range(256)] + list(parts))
+
+    assert [tokens._counter(Shared(*parts)).count("ab") for parts in ((), (b"ab",), (), (b"ab",))] == [2, 1, 2, 1]
+
+
 def test_small_vocabulary_against_merging():
     v = small()
     c = tokens.Counter(v)
@@ -72,6 +80,23 @@ def test_fit_is_within_and_full():
     assert sum(n * k for n, k in mixing.fit({n: 3 for n in range(2, 200)}, 12_345).items()) == 12_345
 
 
+def test_fit_is_exact_beyond_any_length():
+    rng = random.Random(11)
+    for _ in range(150):  # against all sums
+        h = {rng.choice((2, 3, 5, 7, 10, 30, 44, 90, 300)): rng.randint(1, 5) for _ in range(rng.randint(1, 5))}
+        sums = {0}
+        for n, c in h.items():
+            sums = {s + n * k for s in sums for k in range(c + 1)}
+        budget = rng.randint(0, sum(n * c for n, c in h.items()) + 5)
+        taken = mixing.fit(h, budget)
+        assert sum(n * k for n, k in taken.items()) == max(s for s in sums if s <= budget) and all(0 < k <= h[n] for n, k in taken.items())
+    long = {n: 2 for n in range(30_000, 90_000, 997)} | {7: 40, 11: 40}  # a remainder of over 60,000 tokens
+    budget = sum(n * c for n, c in long.items()) // 3
+    assert sum(n * k for n, k in mixing.fit(long, budget).items()) == budget
+    assert mixing.fit({1_000_000: 9, 3: 1}, 5_000_009) == {1_000_000: 5, 3: 1}  # no choice meets it: the nearest below
+    assert mixing.fit({6: 50, 9: 50}, 500) in [{6: a, 9: b} for a in range(1, 51) for b in range(1, 51) if 6 * a + 9 * b == 498] + [{6: 8, 9: 50}]
+
+
 def test_plan_keeps_repeats_and_shares():
     p = mixing.plan({"a": {10: 10}, "b": {10: 100}, "x": {5: 5}}, {"a": (0.5, 3), "b": (0.25, 1), "gone": (0.25, 9)})
     assert set(p) == {"a", "b"} and p["a"] == (3, {})

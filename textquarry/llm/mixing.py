@@ -7,9 +7,11 @@ dynamic program over the lengths left. Which documents of a length are taken, a
 
 from __future__ import annotations
 
+import math
 import random
 from collections.abc import Mapping
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,54 +19,74 @@ from textquarry.llm.tokens import VOCABULARY, Vocabulary, count_udf, tidy
 from textquarry.operators.ranking import seeded_rank
 from textquarry.runtime import materialize
 
-#: Tokens that the dynamic program may have to fill; more is filled by longest first before it.
-KNAPSACK = 60_000
+#: Sums, from one token up, that the dynamic program looks at in the last resort: where these do not hold the budget
+#: either, and not all texts are among them, the mix may stay a few tokens below it.
+MOST_SUMS = 1 << 24
+
+
+def largest_sum(counts: list[tuple[int, int]], limit: int) -> tuple[int, dict[int, int]]:
+    """(largest sum up to ``limit``, how many of each length make it up) of texts given as (length, count); exact.
+
+    Bounded knapsack: the bits of an integer are the sums reached, counts are split into powers of two, and each sum
+    remembers the part that reached it first, so that memory is a few bytes for each sum.
+    """
+    mask = (1 << (limit + 1)) - 1
+    reached, parts = 1, []
+    first = np.full(limit + 1, -1, dtype=np.int32)
+    for n, c in counts:
+        c = min(c, limit // n)
+        part = 1
+        while c > 0 and not (reached >> limit) & 1:
+            k = min(part, c)
+            new = (reached << (n * k)) & mask & ~reached
+            if new:
+                bits = np.frombuffer(new.to_bytes(limit // 8 + 1, "little"), dtype=np.uint8)
+                at = np.flatnonzero(bits)
+                on = np.flatnonzero(np.unpackbits(bits[at], bitorder="little"))
+                first[at[on // 8] * 8 + on % 8] = len(parts)
+                reached |= new
+            parts.append((n, k))
+            c -= k
+            part *= 2
+        if (reached >> limit) & 1:
+            break
+    best = at = reached.bit_length() - 1
+    taken: dict[int, int] = {}
+    while at:
+        n, k = parts[first[at]]
+        taken[n] = taken.get(n, 0) + k
+        at -= n * k
+    return best, taken
 
 
 def fit(histogram: Mapping[int, int], budget: int) -> dict[int, int]:
-    """How many documents of each length to take, each at most once, for the largest sum up to ``budget`` that is found.
+    """How many documents of each length to take, each at most once, for the largest sum up to ``budget``.
 
-    Evenly over the lengths in order first, short of the budget by two of the longest; then exactly.
+    Evenly over the lengths in order first, short of the budget by two of the longest; the rest exactly. Where no choice
+    for that rest meets the budget, less is filled evenly, until it is met or all is left to the exact choice (MOST_SUMS).
     """
     total = sum(n * c for n, c in histogram.items())
     if budget >= total:
         return dict(histogram)
-    part = max(0, budget - 2 * max(histogram))
-    taken, seen, rest = {}, 0, budget
-    for n in sorted(histogram):
-        before, seen = seen, seen + histogram[n]
-        taken[n] = seen * part // total - before * part // total
-        rest -= n * taken[n]
+    if budget <= 0 or not histogram:
+        return {}
+    goal = budget - budget % math.gcd(*histogram)  # no sum lies between
     lengths = sorted(histogram, reverse=True)
-    left = {n: histogram[n] - taken[n] for n in lengths}
-    for n in lengths:  # only where single texts are longer than the program may fill
-        if rest <= KNAPSACK:
-            break
-        k = min(left[n], max(0, (rest - KNAPSACK // 2) // n))
-        taken[n] += k
-        left[n] -= k
-        rest -= k * n
     random.Random(budget).shuffle(lengths)
-    # bounded knapsack: the bits of an integer are the sums reached; counts are split into powers of two
-    mask = (1 << (rest + 1)) - 1
-    reached, steps = 1, []
-    for n in lengths:
-        c = min(left[n], rest // n)
-        part = 1
-        while c > 0 and not (reached >> rest) & 1:
-            k = min(part, c)
-            steps.append((n, k, reached))
-            reached |= (reached << (n * k)) & mask
-            c -= k
-            part *= 2
-        if (reached >> rest) & 1:
-            break
-    at = reached.bit_length() - 1
-    for n, k, before in reversed(steps):
-        if not (before >> at) & 1:
-            taken[n] += k
-            at -= n * k
-    return {n: k for n, k in taken.items() if k}
+    window, best, found = 2 * max(histogram), -1, {}
+    while True:
+        part = max(0, goal - window)
+        taken, seen, rest = {}, 0, goal
+        for n in sorted(histogram):
+            before, seen = seen, seen + histogram[n]
+            taken[n] = seen * part // total - before * part // total
+            rest -= n * taken[n]
+        got, extra = largest_sum([(n, histogram[n] - taken[n]) for n in lengths], rest)
+        if goal - rest + got > best:
+            best, found = goal - rest + got, {n: k for n in taken if (k := taken[n] + extra.get(n, 0))}
+        if best == goal or part == 0 or 4 * window > MOST_SUMS:
+            return found
+        window *= 4
 
 
 def plan(histograms: Mapping[str, Mapping[int, int]], targets: Mapping[str, tuple[float, int]], total: int | None = None) -> dict[str, tuple[int, dict[int, int]]]:

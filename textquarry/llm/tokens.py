@@ -9,6 +9,7 @@ time, without a list of identifiers. Counts then feed aggregate cubes.
 from __future__ import annotations
 
 import base64
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -36,6 +37,7 @@ class Vocabulary:
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
+        self.digest = hashlib.sha256(b"\0".join(tokens)).hexdigest()
         rank = {t: i for i, t in enumerate(tokens)}
         self.left, self.right = list(range(len(tokens))), list(range(len(tokens)))
         self.merged: dict[tuple[int, int], int] = {}
@@ -143,12 +145,12 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return map_texts(df, id_col, text_col, _OUT, "doc_id long, tokens long", make)
 
 
-_COUNTERS: dict[int, Counter] = {}
+_COUNTERS: dict[str, Counter] = {}
 
 
 def _counter(shared) -> Counter:
-    """One automaton for all tasks of a Python worker."""
-    key = id(shared.value)
+    """One automaton for all tasks of a Python worker, known by what its vocabulary holds."""
+    key = shared.value.digest
     if key not in _COUNTERS:
         _COUNTERS.clear()
         _COUNTERS[key] = Counter(shared.value)
