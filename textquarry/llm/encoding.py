@@ -65,9 +65,7 @@ def automaton() -> ahocorasick.Automaton:
             once = read_bytes(c.encode(), codec)
             found.setdefault(once, {}).setdefault(codec, c)
             if codec in ("cp1252", "latin-1", "mac_roman", "cp1251"):
-                twice = read_bytes(once.encode(), codec)
-                if len(twice) < 16:
-                    found.setdefault(twice, {}).setdefault(codec, c)
+                found.setdefault(read_bytes(once.encode(), codec), {}).setdefault(codec, c)
     found.setdefault("â€", {}).setdefault("cp1252", "”")  # its third byte is a control character that many systems drop
     a = ahocorasick.Automaton()
     for seq, by in found.items():

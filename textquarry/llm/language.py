@@ -1,7 +1,8 @@
 """The language of each document and of each segment of mixed documents, with a confidence.
 
 Method: hierarchical discrimination. Linear classifiers on the n-grams of words first tell the family; within it
-one-versus-one linear support vector machines separate the related languages. They are trained here, on a bounded,
+one-versus-one linear support vector machines separate the related languages. The hierarchy is soft: how firmly the
+family is known is added to the scores of its languages, so that a sure pair may outweigh an unsure family. They are trained here, on a bounded,
 seeded sample of rows that carry a language label (TRAIN_DOCUMENTS for each language) and on the function words.
 Sentences are judged one by one, so a mixed document falls into segments.
 """
@@ -37,7 +38,8 @@ NOTATIONS = {
 }
 #: Documents of each language, chosen by seeded hash, that the classifiers are trained on at most.
 TRAIN_DOCUMENTS = 250
-TRAIN_SENTENCES = 1500
+#: Sentences of each language, drawn from these and the function words, and words of each, that they are trained on at most.
+TRAIN_SENTENCES, TRAIN_WORDS = 1500, 30
 SLOTS = 16384
 PAIRS = tuple(p for f in FAMILIES.values() for p in combinations(f, 2))
 #: A language counts in a document from this share of its words.
@@ -142,7 +144,7 @@ def train(examples: list[tuple[str, str]], steps: int = 2000, seed: int = 7) ->
         own = [COMMON[code].split()[i : i + 8] for i in range(0, 48, 4)]
         for lang, text in examples:
             if lang == code:
-                own += [s[:30] for s in sentences(repair(text)[1]) if len(s) >= 3]
+                own += [s[:TRAIN_WORDS] for s in sentences(repair(text)[1]) if len(s) >= 3]
         own = [s for s in own if s]
         own += [s[a : a + int(rng.integers(2, 6))] for s in own for a in (int(rng.integers(0, max(1, len(s) - 2))),)]  # short pieces, as in lists
         pick = rng.permutation(len(own))[:TRAIN_SENTENCES]
