@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textquarry.llm import encoding, language, leaks, markup, mixing, reading, shape, tokens, truncation
-from textquarry.runtime import spread, table
+from textquarry.functions.identity import account_key, page_key
+from textquarry.llm import encoding, grouping, language, leaks, markup, mixing, reading, shape, tokens, truncation
+from textquarry.runtime import materialize, spread, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,6 +60,25 @@ def p4_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shape.text_statistics(documents(spark, sf_dir, "doc_id", "text")).select("doc_id", *(F.round(c, 6).alias(c) for c in shape.STATS))
 
 
+# ---- 5: groups of posts and splits that keep them together -------------------------------------------
+
+
+def _post_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posts = table(spark, sf_dir, "posts").select("post_id", "author", "source")
+    return grouping.tied_groups(posts, "post_id", [account_key(F.col("author")), page_key(F.col("source"))])
+
+
+@query
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _post_groups(spark, sf_dir).filter("group_size > 1").select(F.col("rec_id").alias("post_id"), "group_id")
+
+
+@query
+def p5_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    groups = materialize(_post_groups(spark, sf_dir))
+    return grouping.group_splits(groups, {"train": 0.8, "validation": 0.1, "test": 0.1}).withColumnRenamed("rec_id", "post_id")
+
+
 # ---- 6: language -------------------------------------------------------------------------------------
 
 
