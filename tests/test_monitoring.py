@@ -1,5 +1,6 @@
 import json
 import logging
+import os
 
 from pyspark.sql import functions as F
 
@@ -24,13 +25,14 @@ def test_windows_and_sessions(spark):
 
 def test_late_rows_end_with_the_watermark(spark, tmp_path):
     (tmp_path / "in").mkdir()
-    for i, s in enumerate((0, 3600, 10, 7200)):
+    for i, s in enumerate((0, 3600, 3700, 10, 7200)):  # rows are late by the watermark of the batch before theirs
         (tmp_path / "in" / f"{i}.json").write_text(json.dumps({"s": s}))
+        os.utime(tmp_path / "in" / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))  # files are read in the order of these times
     stream = spark.readStream.schema("s int").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in")).select(F.timestamp_seconds("s").alias("ts"), F.lit("m").alias("name"), F.lit(1.0).alias("value"))
     w = M.windowed(stream, "1 minute", watermark="5 minutes")
     q = w.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     q.awaitTermination()
-    assert all(r["count"] == 1 for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert sorted((r.start.timestamp(), r["count"]) for r in spark.read.parquet(str(tmp_path / "out")).select(F.col("start"), "count").collect()) == [(0, 1), (3600, 1), (3660, 1)]
 
 
 def test_collector(spark, tmp_path):

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from textquarry.operators.splits import draw
+from textquarry.operators.splits import sample
 
 # Tables of our own: words and phrases with others of like meaning.
 SYNONYMS = {
@@ -143,6 +143,8 @@ EFFECTS = {
     "es": ((r"\b(\w+) (?:house|page|book)\b", r"the \g<0> of it"), (r"\bvery (\w+)\b", r"quite \1")),
     "fr": ((r"\b(\w+)ly\b", r"in a \1 way"), (r"\ba lot of\b", "much of")),
     "de": ((r"\b(because) ([^.,;]+)", r"\1 that \2"), (r"\bwent\b", "is gone")),
+    "it": ((r"\b(my|your|our) (\w+)\b", r"the \1 \2"), (r"\b(\w+) too\b", r"also \1")),
+    "pt": ((r"\b(\w+) years old\b", r"with \1 years"), (r"\bhow are you\b", "all is well")),
 }
 
 
@@ -169,10 +171,10 @@ def back_translate(text: str, seed: int, language: str = "es", advanced: bool =
     return re.sub(r"\s+", " ", text).strip()
 
 
-def back_translations(df: DataFrame, ratio: float = 0.5, variations: int = 2, languages: Sequence[str] = ("es", "fr", "de"), advanced: bool = False, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def back_translations(df: DataFrame, ratio: float = 0.5, variations: int = 2, languages: Sequence[str] = ("es", "fr", "de", "it", "pt"), advanced: bool = False, seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents and ``variations`` round trips of exactly floor(rows x ratio) of them: is_back_translation, original_id, variation_index."""
     total = df.count()
-    chosen = df.filter(F.col(text_col).isNotNull()).orderBy(draw(seed, id_col), id_col).limit(int(total * ratio))
+    chosen = sample(df.filter(F.col(text_col).isNotNull()), int(total * ratio), id_col, seed)
 
     @F.pandas_udf(StringType())
     def trip(texts: pd.Series, seeds: pd.Series) -> pd.Series:

@@ -59,8 +59,8 @@ def stratified_split(df: DataFrame, field: str, ratios: Mapping[str, float] = DE
 
 
 def sample(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = 42) -> DataFrame:
-    """Exactly n rows (all, where there are fewer), without replacement."""
-    return df.orderBy(draw(seed, id_col), id_col).limit(n)
+    """Exactly n rows (all, where there are fewer), without replacement; ranked in two steps, so that no task orders them all."""
+    return _ranked(df, (), id_col, seed).filter(F.col("_rank") < n).drop("_rank", "_size")
 
 
 def newest(df: DataFrame, keys: Sequence[str], by: str, n: int) -> DataFrame:

@@ -15,12 +15,12 @@ from textquarry.plans.config import Config
 from textquarry.plans.pipeline import Pipeline
 from textquarry.plans.versioning import DatasetTracker
 from textquarry.sources import files, sinks
+from textquarry.sources.storage import Storage
 
 
 def _documents(spark: SparkSession, path: str):
-    import os
-
-    df = files.read_directory(spark, path) if os.path.isdir(path) else files.read_file(spark, path)
+    
+    df = files.read_directory(spark, path) if Storage(spark).is_folder(path) else files.read_file(spark, path)
     if "content" in df.columns and "text" not in df.columns:
         df = files.promote_text(df)
     return df if "doc_id" in df.columns else df.withColumn("doc_id", F.xxhash64("source", F.coalesce("text", F.lit(""))))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
 import time
 from collections.abc import Callable
 from typing import Any
@@ -20,6 +19,7 @@ from textquarry.operators import dedup as duplicates
 from textquarry.plans.config import Config
 from textquarry.plans.versioning import DatasetTracker, Stages
 from textquarry.sources import api, files, sinks, web
+from textquarry.sources.storage import Storage, join
 from textquarry.streaming import monitoring
 
 
@@ -85,9 +85,7 @@ class Pipeline:
         """Changes with the configuration and with the files read."""
         stamps = []
         for s in self.config.get("ingestion.sources"):
-            path = s.get("path", "")
-            found = [path] if os.path.isfile(path) else [os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs]
-            stamps += sorted((f, os.path.getsize(f), os.path.getmtime(f)) for f in found)
+            stamps += [list(f) for f in Storage(self.spark).files(s["path"])] if s.get("path") else []
         return hashlib.sha256(json.dumps([self.config.tree, stamps], sort_keys=True, default=str).encode()).hexdigest()
 
     def ingest(self, _: DataFrame | None) -> DataFrame:
@@ -96,7 +94,7 @@ class Pipeline:
             seen.append(json.dumps(s, sort_keys=True, default=str))
             if s["type"] == "file":
                 path = s["path"]
-                df = files.read_directory(self.spark, path, s.get("pattern", "*")) if os.path.isdir(path) else files.read_file(self.spark, path)
+                df = files.read_directory(self.spark, path, s.get("pattern", "*")) if Storage(self.spark).is_folder(path) else files.read_file(self.spark, path)
                 if df is None:
                     continue
                 if "content" in df.columns and "text" not in df.columns:
@@ -181,12 +179,11 @@ class Pipeline:
     def _quality_of(self, stages: Stages) -> dict[str, Any]:
         """The report on the table of the quality stage; taken from its file where the stage was not run again."""
         path = stages.path("quality") + ".json"
-        if os.path.exists(path) and "quality" not in dict(self._begun):
-            with open(path, encoding="utf-8") as f:
-                return json.load(f)
+        store = Storage(self.spark)
+        if store.exists(path) and "quality" not in dict(self._begun):
+            return json.loads(store.read(path))
         report = self.quality_report(self.spark.read.parquet(stages.path("quality")))
-        with open(path, "w", encoding="utf-8") as f:
-            json.dump(report, f)
+        store.write(path, json.dumps(report))
         return report
 
     def _monitored(self, stages: Stages, quality: dict[str, Any]) -> dict[str, Any]:
@@ -226,14 +223,14 @@ class Pipeline:
 
     def _run(self, resume: bool, watch: monitoring.SystemMonitor | None) -> dict[str, Any]:
         self._begun.clear()
-        stages = Stages(self.spark, os.path.join(self.out, "stages"), self._key())
+        stages = Stages(self.spark, join(self.out, "stages"), self._key())
         steps = {"ingest": self.ingest, "preprocess": self.preprocess, "quality": self.quality, "augment": self.augment, "format": self.format}
         done = stages.run({n: self._timed(n, f) for n, f in steps.items()}, resume=resume)
         self._ended = time.perf_counter()
         quality = self._quality_of(stages)
-        path = os.path.join(self.out, "dataset")
+        path = join(self.out, "dataset")
         sinks.write_splits(done, path, self.config.get("output.format"), compression=self.config.get("output.compression"))
-        version = DatasetTracker(self.spark, os.path.join(self.out, "versions")).create(done, self.config.get("project.name"))
+        version = DatasetTracker(self.spark, join(self.out, "versions")).create(done, self.config.get("project.name"))
         counts = {r.split: r["count"] for r in done.groupBy("split").count().collect()}
         told = self._monitored(stages, quality) if watch else None
         return {"path": path, "version": version, "splits": counts, "stages": stages.status(), "dropped": self.dropped, "quality": quality, "monitoring": told}

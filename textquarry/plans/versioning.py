@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
 import time
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
@@ -14,6 +12,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.sources.storage import Storage, join
+
 
 def fingerprint(df: DataFrame) -> str:
     """Equal for equal bags of rows, whatever their order and partitioning; repeats count.
@@ -48,18 +48,15 @@ class DatasetTracker:
     """Versions below one directory."""
 
     def __init__(self, spark: SparkSession, directory: str):
-        self.spark, self.directory = spark, directory
-        os.makedirs(directory, exist_ok=True)
-        self._index = os.path.join(directory, "versions.json")
+        self.spark, self.directory, self._files = spark, directory, Storage(spark)
+        self._files.make_folder(directory)
+        self._index = join(directory, "versions.json")
         self.versions: dict[str, Version] = {}
-        if os.path.exists(self._index):
-            with open(self._index, encoding="utf-8") as f:
-                self.versions = {k: Version(**v) for k, v in json.load(f).items()}
+        if self._files.exists(self._index):
+            self.versions = {k: Version(**v) for k, v in json.loads(self._files.read(self._index)).items()}
 
     def _save(self) -> None:
-        with open(self._index + ".new", "w", encoding="utf-8") as f:
-            json.dump({k: asdict(v) for k, v in self.versions.items()}, f, indent=2)
-        os.replace(self._index + ".new", self._index)
+        self._files.write(self._index, json.dumps({k: asdict(v) for k, v in self.versions.items()}, indent=2))
 
     def create(self, df: DataFrame, name: str | None = None, description: str = "", tags: Sequence[str] = (), parent: str | None = None, **metadata: Any) -> str:
         """The id of a new version, or of the existing one with the same rows."""
@@ -70,7 +67,7 @@ class DatasetTracker:
         now = time.time()
         stem = f"{name}_{int(now)}" if name else time.strftime("v_%Y%m%d_%H%M%S", time.gmtime(now))
         vid = f"{stem}_{mark[:8]}"
-        path = os.path.join(self.directory, vid)
+        path = join(self.directory, vid)
         df.write.mode("overwrite").parquet(path)
         self.versions[vid] = Version(vid, mark, path, now, self.spark.read.parquet(path).count(), df.columns, description, list(tags), parent, None, metadata)
         self._save()
@@ -98,7 +95,7 @@ class DatasetTracker:
             return False
         v = self.versions.pop(vid)
         if all(o.path != v.path for o in self.versions.values()):
-            shutil.rmtree(v.path, ignore_errors=True)
+            self._files.delete(v.path)
         self._save()
         return True
 
@@ -119,7 +116,7 @@ class DatasetTracker:
 
     def summary(self) -> dict[str, Any]:
         newest = self.list()
-        size = sum(os.path.getsize(os.path.join(d, f)) for p in {v.path for v in newest} for d, _, fs in os.walk(p) for f in fs)
+        size = sum(f.size for p in {v.path for v in newest} for f in self._files.files(p))
         return {"versions": len(newest), "latest": newest[0].version_id if newest else None, "tags": sorted({t for v in newest for t in v.tags}), "bytes": size}
 
     def cleanup(self, keep: int) -> list[str]:
@@ -133,24 +130,19 @@ class Stages:
     """Stages with a written table after each; a stage is taken from its table when nothing before it has changed."""
 
     def __init__(self, spark: SparkSession, directory: str, key: str):
-        self.spark, self.directory = spark, directory
+        self.spark, self.directory, self._files = spark, directory, Storage(spark)
         self.key = key
-        self._manifest = os.path.join(directory, "stages.json")
-        os.makedirs(directory, exist_ok=True)
+        self._manifest = join(directory, "stages.json")
+        self._files.make_folder(directory)
 
     def _read(self) -> list[dict[str, Any]]:
-        if not os.path.exists(self._manifest):
-            return []
-        with open(self._manifest, encoding="utf-8") as f:
-            return json.load(f)
+        return json.loads(self._files.read(self._manifest)) if self._files.exists(self._manifest) else []
 
     def _write(self, rows: list[dict[str, Any]]) -> None:
-        with open(self._manifest + ".new", "w", encoding="utf-8") as f:
-            json.dump(rows, f, indent=2)
-        os.replace(self._manifest + ".new", self._manifest)
+        self._files.write(self._manifest, json.dumps(rows, indent=2))
 
     def path(self, stage: str) -> str:
-        return os.path.join(self.directory, f"{stage}_{self.key[:12]}")
+        return join(self.directory, f"{stage}_{self.key[:12]}")
 
     def has(self, stage: str) -> bool:
         return any(r["stage"] == stage and r["key"] == self.key and r["status"] == "done" for r in self._read())
@@ -190,6 +182,6 @@ class Stages:
             seen[r["stage"]] = seen.get(r["stage"], 0) + 1
             (kept if seen[r["stage"]] <= keep else gone).append(r)
         for r in gone:
-            shutil.rmtree(r["path"], ignore_errors=True)
+            self._files.delete(r["path"])
         self._write(sorted(kept, key=lambda r: r["at"]))
         return [r["path"] for r in gone]

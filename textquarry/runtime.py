@@ -12,14 +12,16 @@ from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only where that is unset, one of our own."""
+    """The folder for checkpoints: the cluster's ``spark.checkpoint.dir``; only where that is unset, and on one machine, one of our own."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
         return named
-    if sc.getCheckpointDir() is None:  # tests and single-machine sessions only
+    if sc.getCheckpointDir() is None:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all machines of the cluster share")
         sc.setCheckpointDir(os.path.join(tempfile.gettempdir(), "textquarry-checkpoints"))
     return sc.getCheckpointDir()
 

@@ -12,6 +12,7 @@ from pyspark.sql.types import StringType, StructType
 
 from textquarry.functions.text import strip
 from textquarry.operators.splits import union_all
+from textquarry.sources.storage import Storage
 
 SUFFIXES = {".json": "json", ".jsonl": "jsonl", ".csv": "csv", ".txt": "txt", ".parquet": "parquet", ".xml": "xml"}
 
@@ -119,7 +120,7 @@ def read_file(spark: SparkSession, path: str, **options) -> DataFrame:
     suffix = os.path.splitext(path)[1].lower()
     if suffix not in SUFFIXES:
         raise ValueError(f"unsupported file format: {suffix}")
-    if "://" not in path and not any(c in path for c in "*?[") and not os.path.exists(path):
+    if not any(c in path for c in "*?[") and not Storage(spark).exists(path):
         raise FileNotFoundError(path)
     return _READERS[SUFFIXES[suffix]](spark, path, **options)
 
@@ -132,12 +133,9 @@ def read_directory(spark: SparkSession, directory: str, pattern: str = "*", recu
     import fnmatch
 
     found: dict[str, list[str]] = {}
-    for folder, _, names in os.walk(directory):
-        for n in sorted(names):
-            if fnmatch.fnmatch(n, pattern) and (kind := SUFFIXES.get(os.path.splitext(n)[1].lower())):
-                found.setdefault(kind, []).append(os.path.join(folder, n))
-        if not recursive:
-            break
+    for f in Storage(spark).files(directory, recursive):
+        if fnmatch.fnmatch(os.path.basename(f.path), pattern) and (kind := SUFFIXES.get(os.path.splitext(f.path)[1].lower())):
+            found.setdefault(kind, []).append(f.path)
     parts = []
     for kind, paths in sorted(found.items()):
         df = _READERS[kind](spark, paths)

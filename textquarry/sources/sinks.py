@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, MapType, NumericType, StringType, StructType
 
+from textquarry.sources.storage import Storage, join
+
 CODECS = {"jsonl": ("none", "gzip"), "parquet": ("none", "snappy", "gzip", "lz4", "zstd", "brotli", "lzo")}
 
 
@@ -127,21 +129,21 @@ def schema_info(df: DataFrame) -> dict:
     return {"columns": df.columns, "types": dict(df.dtypes), "nullable": {f.name: f.nullable for f in df.schema.fields}, "rows": df.count()}
 
 
-def merge_parquet(spark: SparkSession, paths: Sequence[str], out: str, files: int = 1) -> None:
-    """Existing files together in a few; missing inputs are skipped, none at all is an error."""
-    parts = []
-    for p in paths:
-        try:
-            parts.append(spark.read.parquet(p))
-        except Exception as e:  # noqa: BLE001  the reader's own error has no narrower type here
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-    if not parts:
+#: Bytes of input for each file that merge_parquet writes unless a number is given.
+MERGED_BYTES = 256 << 20
+
+
+def merge_parquet(spark: SparkSession, paths: Sequence[str], out: str, files: int | None = None) -> None:
+    """Existing files together in a few, by their size; missing inputs are skipped, none at all is an error."""
+    store = Storage(spark)
+    paths = [p for p in paths if store.exists(p)]
+    if not paths:
         raise ValueError("no files to merge")
-    df = parts[0]
-    for p in parts[1:]:
-        df = df.unionByName(p, allowMissingColumns=True)
-    df.repartition(files).write.mode("overwrite").parquet(out)
+    df = spark.read.parquet(paths[0])
+    for p in paths[1:]:
+        df = df.unionByName(spark.read.parquet(p), allowMissingColumns=True)
+    files = files or 1 + sum(f.size for p in paths for f in store.files(p)) // MERGED_BYTES
+    df.coalesce(files).write.mode("overwrite").parquet(out)
 
 
 def dataset_info(df: DataFrame, split_col: str = "split") -> dict:
@@ -151,7 +153,7 @@ def dataset_info(df: DataFrame, split_col: str = "split") -> dict:
 
 
 def write_splits(df: DataFrame, path: str, kind: str = "parquet", split_col: str = "split", compression: str | None = None) -> None:
-    """A folder for each split, and dataset_info.json beside them where the path is local."""
+    """A folder for each split, and dataset_info.json beside them for a dataset."""
     if kind not in ("jsonl", "parquet", "dataset"):
         raise ValueError(f"unknown format: {kind}")
     w = df.write.mode("overwrite").partitionBy(split_col)
@@ -159,9 +161,8 @@ def write_splits(df: DataFrame, path: str, kind: str = "parquet", split_col: str
         w.option("compression", _codec("jsonl", compression)).json(path)
         return
     w.option("compression", _codec("parquet", compression or "snappy")).parquet(path)
-    if kind == "dataset" and "://" not in path:
-        with open(f"{path}/dataset_info.json", "w", encoding="utf-8") as f:
-            json.dump(dataset_info(df, split_col), f, indent=2)
+    if kind == "dataset":
+        Storage(df.sparkSession).write(join(path, "dataset_info.json"), json.dumps(dataset_info(df, split_col), indent=2))
 
 
 class BatchWriter:
