@@ -72,3 +72,45 @@ def test_logging(tmp_path):
         h.flush()
     assert json.loads((tmp_path / "l.log").read_text())["message"] == "hello"
     log.handlers[:] = [logging.NullHandler()]
+
+
+def test_all_together(spark, tmp_path):
+    with M.Monitoring(interval=0.05, rules=[*M.DEFAULT_RULES, M.Rule("much missing", "quality.docs.missing_share", "gt", 0.3)]) as m:
+        df, record = m.quality.watch(spark.createDataFrame([("ab",), (" ",), (None,), (None,)], "text string"), "docs")
+        df.count()
+        df.write.format("noop").mode("overwrite").save()
+        assert record() == {"documents": 4, "missing_share": 0.5, "blank_share": 0.25, "mean_chars": 0.75}
+        with m.metrics.operation("work"):
+            pass
+        m.metrics.record("own", 1, at=0)
+        out = m.report(str(tmp_path / "r.json"))
+    assert [a["rule"] for a in out["alerts"] if a["rule"] == "much missing"] and json.loads((tmp_path / "r.json").read_text()) == out
+    assert out["metrics"]["quality"]["quality.docs.documents"] == {"latest": 4.0, "mean": 4.0, "values": 1} and "operation.work.ok" in out["metrics"]["operation"] and not out["metrics"]["other"]
+
+
+def test_log_filters_and_decorators(tmp_path):
+    path = tmp_path / "log"
+    log = M.setup_logging(str(path), logging.DEBUG)
+    handler = log.handlers[0]
+    handler.addFilter(M.ContextFilter(run="r1"))
+    handler.addFilter(M.ProgressFilter(60))
+    for i in range(3):
+        log.info("step %d", i, extra={"progress": i})
+    log.info("plain")
+
+    @M.timed
+    @M.logged
+    def work(x, k=1):
+        if x is None:
+            raise ValueError(x)
+        return x
+
+    assert work(2, k=3) == 2 and work.__name__ == "work"
+    try:
+        work(None)
+    except ValueError:
+        pass
+    lines = [json.loads(x) for x in path.read_text().splitlines()]
+    log.handlers.clear()
+    assert [x["message"] for x in lines][:4] == ["step 0", "plain", "work(int, k: int)", "work gave int"] and all(x["context"] == {"run": "r1"} for x in lines)
+    assert lines[4]["message"].startswith("work took") and lines[-1]["message"].startswith("work failed") and "ValueError" in lines[-1]["error"]

@@ -1,10 +1,105 @@
-"""Answers of public APIs as records: every parser takes a DataFrame of payloads and stays in the JVM."""
+"""Public APIs: addresses of searches, their answers fetched on the executors, and records from these.
+
+Every parser takes a DataFrame of payloads and stays in the JVM, so that stored answers are parsed like fresh ones.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+from urllib.parse import quote, urlencode
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.sources.web import WebSource
+
+#: Public addresses of the services; each function takes another one as ``base``.
+ENCYCLOPEDIA = "https://en.wikipedia.org"
+PREPRINTS = "http://export.arxiv.org/api/query"
+CRAWL_INDEX = "https://index.commoncrawl.org/CC-MAIN-2023-50-index"
+NEWS_BOARD = "https://hn.algolia.com/api/v1/search"
+FORUM = "https://www.reddit.com"
+
+
+# ---- addresses ---------------------------------------------------------------------------------------
+
+
+def _with(base: str, **query: object) -> str:
+    return f"{base}?{urlencode({k: v for k, v in query.items() if v is not None})}"
+
+
+def encyclopedia_search(query: str, limit: int = 10, base: str = ENCYCLOPEDIA) -> str:
+    return _with(f"{base}/w/api.php", action="query", format="json", list="search", srsearch=query, srlimit=limit)
+
+
+def encyclopedia_summary(title: str, base: str = ENCYCLOPEDIA) -> str:
+    return f"{base}/api/rest_v1/page/summary/{quote(title.replace(' ', '_'), safe='')}"
+
+
+def preprint_search(query: str, most: int = 100, category: str | None = None, base: str = PREPRINTS) -> str:
+    terms = f"all:{query}" + (f" AND cat:{category}" if category else "")
+    return _with(base, search_query=terms, start=0, max_results=most, sortBy="relevance", sortOrder="descending")
+
+
+def crawl_search(domain: str, limit: int = 1000, base: str = CRAWL_INDEX) -> str:
+    return _with(base, url=f"{domain}/*", limit=limit, output="json")
+
+
+def news_search(query: str, tags: str = "story", hits: int = 100, base: str = NEWS_BOARD) -> str:
+    return _with(base, query=query, tags=tags, hitsPerPage=min(hits, 1000))
+
+
+def forum_search(community: str, query: str | None = None, limit: int = 100, base: str = FORUM) -> str:
+    """Posts of a community that match a query, else those that are hot."""
+    if query:
+        return _with(f"{base}/r/{quote(community)}/search.json", q=query, limit=limit, sort="relevance")
+    return _with(f"{base}/r/{quote(community)}/hot.json", limit=limit)
+
+
+# ---- fetching ----------------------------------------------------------------------------------------
+
+
+def fetch(spark: SparkSession, urls: Sequence[str], delay: float = 1.0, timeout: float = 30, partitions: int = 1) -> DataFrame:
+    """(url, payload, status_code, error) of each address, with ``delay`` seconds between the requests of a task.
+
+    One service is asked by one task, so that its rate limit holds; several services may have a task each. A request
+    that fails has a null payload and its error.
+    """
+    spark.dataSource.register(WebSource)
+    pages = spark.read.format("web").options(urls=" ".join(urls), delay=delay, timeout=timeout, partitions=partitions).load()
+    return pages.select("url", F.col("body").alias("payload"), "status_code", "error")
+
+
+def search_encyclopedia(spark: SparkSession, query: str, limit: int = 10, delay: float = 1.0, base: str = ENCYCLOPEDIA) -> DataFrame:
+    """Summaries of the pages that a search finds: the list of titles first, then a request for each."""
+    found = fetch(spark, [encyclopedia_search(query, limit, base)], delay)
+    titles = found.select(F.explode(F.from_json("payload", "query struct<search: array<struct<title: string>>>")["query"]["search"]["title"]).alias("t"))
+    return encyclopedia(fetch(spark, [encyclopedia_summary(r.t, base) for r in titles.limit(limit).collect()], delay))  # ``limit`` titles
+
+
+def search_preprints(spark: SparkSession, query: str, most: int = 100, category: str | None = None, base: str = PREPRINTS) -> DataFrame:
+    return preprints(fetch(spark, [preprint_search(query, most, category, base)]))
+
+
+def search_crawls(spark: SparkSession, domain: str, limit: int = 1000, base: str = CRAWL_INDEX) -> DataFrame:
+    return crawl_index(fetch(spark, [crawl_search(domain, limit, base)]))
+
+
+def search_news(spark: SparkSession, query: str, tags: str = "story", hits: int = 100, base: str = NEWS_BOARD) -> DataFrame:
+    return news_board(fetch(spark, [news_search(query, tags, hits, base)]))
+
+
+def search_forum(spark: SparkSession, community: str, query: str | None = None, limit: int = 100, base: str = FORUM) -> DataFrame:
+    return forum(fetch(spark, [forum_search(community, query, limit, base)]))
+
+
+def fetch_feeds(spark: SparkSession, urls: Sequence[str], limit: int = 50, delay: float = 1.0) -> DataFrame:
+    """Entries of every feed, with ``feed_url``."""
+    return feed(fetch(spark, urls, delay), limit, keep=("url",)).withColumnRenamed("url", "feed_url")
+
+
+# ---- answers -----------------------------------------------------------------------------------------
+
 
 def _json(df: DataFrame, schema: str, col: str) -> DataFrame:
     return df.select("*", F.from_json(col, schema).alias("_p"))
@@ -59,17 +154,17 @@ def forum(df: DataFrame, col: str = "payload") -> DataFrame:
     return d.select(F.col("id").alias("object_id"), "title", F.col("selftext").alias("text"), "url", "author", F.col("subreddit").alias("community"), "score", "num_comments", F.timestamp_seconds("created_utc").alias("created_at"), F.lit("forum").alias("source"))
 
 
-def feed(df: DataFrame, limit: int = 50, col: str = "payload") -> DataFrame:
-    """RSS items, else Atom entries: title, description, link, published; the first ``limit`` of each feed."""
+def feed(df: DataFrame, limit: int = 50, col: str = "payload", keep: Sequence[str] = ()) -> DataFrame:
+    """RSS items, else Atom entries: title, description, link, published; the first ``limit`` of each feed. Columns of ``keep`` stay."""
     items = F.regexp_extract_all(col, F.lit(r"(?s)<item[ >](.*?)</item>"), F.lit(1))
     entries = F.regexp_extract_all(col, F.lit(r"(?s)<entry[ >](.*?)</entry>"), F.lit(1))
-    e = df.select(F.explode(F.slice(F.when(F.size(items) > 0, items).otherwise(entries), 1, limit)).alias("e"))
+    e = df.select(*keep, F.explode(F.slice(F.when(F.size(items) > 0, items).otherwise(entries), 1, limit)).alias("e"))
 
     def first(*tags: str) -> Column:
         return F.coalesce(*(_nonblank(_clean(F.regexp_extract("e", rf"(?s)<{t}(?: [^>]*)?>(.*?)</{t}>", 1))) for t in tags), F.lit(""))
 
     link = F.coalesce(_nonblank(_clean(F.regexp_extract("e", r"(?s)<link(?: [^>]*)?>(.*?)</link>", 1))), _nonblank(F.regexp_extract("e", r'<link[^>]*href="([^"]*)"', 1)), F.lit(""))
-    return e.select(first("title").alias("title"), first("description", "summary", "content").alias("description"), link.alias("link"), first("pubDate", "published", "updated").alias("published"), F.lit("feed").alias("source"))
+    return e.select(first("title").alias("title"), first("description", "summary", "content").alias("description"), link.alias("link"), first("pubDate", "published", "updated").alias("published"), F.lit("feed").alias("source"), *keep)
 
 
 def documents(records: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import logging
 import threading
@@ -170,11 +171,73 @@ class SystemMonitor:
 DEFAULT_RULES = (Rule("cpu", "system.cpu", "gt", 90), Rule("memory", "system.memory", "gt", 90), Rule("disk", "system.disk", "gt", 90))
 
 
+class QualityMonitor:
+    """Shares and sizes of a document table as metrics ``quality.<name>.<measure>``, told by the action that runs over it anyway."""
+
+    def __init__(self, metrics: Metrics):
+        self.metrics = metrics
+
+    def watch(self, df: DataFrame, name: str, text_col: str = "text") -> tuple[DataFrame, Callable[[], dict[str, float]]]:
+        """``df`` to be used instead, and what records its measures once an action has run."""
+        t = F.col(text_col)
+        out, told = observed(df, f"quality-{name}", documents=F.count(F.lit(1)), missing=F.count_if(t.isNull()), blank=F.count_if(F.trim(t) == ""), chars=F.coalesce(F.sum(F.length(t)), F.lit(0)))
+
+        def record() -> dict[str, float]:
+            got = told.get
+            n = max(got["documents"], 1)
+            measures = {"documents": got["documents"], "missing_share": got["missing"] / n, "blank_share": got["blank"] / n, "mean_chars": got["chars"] / n}
+            for m, v in measures.items():
+                self.metrics.record(f"quality.{name}.{m}", v)
+            return measures
+
+        return out, record
+
+
+def dashboard(metrics: Metrics, seconds: float = 300, now: float | None = None) -> dict[str, dict]:
+    """Latest, mean and number of values of the last minutes, by kind of metric: system, operation, quality, other."""
+    since = (time.time() if now is None else now) - seconds
+    out: dict[str, dict] = {"system": {}, "operation": {}, "quality": {}, "other": {}}
+    for n in metrics.names():
+        values = [v for at, v, _ in metrics.series(n) if at >= since]
+        if values:
+            kind = n.split(".", 1)[0]
+            out[kind if kind in out else "other"][n] = {"latest": values[-1], "mean": sum(values) / len(values), "values": len(values)}
+    return out
+
+
+class Monitoring:
+    """All of it together: metrics, the machine, alerts with the default rules, quality and the dashboard."""
+
+    def __init__(self, interval: float = 5.0, rules: Sequence[Rule] = DEFAULT_RULES):
+        self.metrics = Metrics()
+        self.system = SystemMonitor(self.metrics, interval)
+        self.alerts = Alerts(self.metrics, rules)
+        self.quality = QualityMonitor(self.metrics)
+
+    def __enter__(self) -> Monitoring:
+        self.system.sample()
+        self.system.start()
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        self.system.stop()
+
+    def report(self, path: str | None = None) -> dict:
+        """The dashboard and the alerts that are met; as a JSON file too where a path is given."""
+        out = {"metrics": dashboard(self.metrics), "alerts": self.alerts.check()}
+        if path:
+            with open(path, "w", encoding="utf-8") as f:  # on the driver's machine, like the log
+                json.dump(out, f)
+        return out
+
+
 class JsonFormatter(logging.Formatter):
     """A record a line."""
 
     def format(self, record: logging.LogRecord) -> str:
         out = {"at": self.formatTime(record), "level": record.levelname, "logger": record.name, "message": record.getMessage()}
+        if getattr(record, "context", None):
+            out["context"] = record.context
         if record.exc_info:
             out["error"] = self.formatException(record.exc_info)
         return json.dumps(out, ensure_ascii=False)
@@ -188,3 +251,68 @@ def setup_logging(path: str | None = None, level: int = logging.INFO, as_json: b
     log.handlers[:] = [handler]
     log.setLevel(level)
     return log
+
+
+class ContextFilter(logging.Filter):
+    """Adds fields to every record, such as the run or the stage."""
+
+    def __init__(self, **fields: object):
+        super().__init__()
+        self.fields = fields
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        record.context = {**getattr(record, "context", {}), **self.fields}
+        return True
+
+
+class ProgressFilter(logging.Filter):
+    """Lets records with ``extra={"progress": ...}`` through once in ``seconds``; all others pass."""
+
+    def __init__(self, seconds: float = 1.0):
+        super().__init__()
+        self.seconds, self._last = seconds, float("-inf")
+
+    def filter(self, record: logging.LogRecord) -> bool:
+        if not hasattr(record, "progress"):
+            return True
+        now = time.monotonic()
+        if now - self._last < self.seconds:
+            return False
+        self._last = now
+        return True
+
+
+@contextmanager
+def timed_block(what: str, logger: logging.Logger = log, level: int = logging.INFO) -> Iterator[None]:
+    """Logs how long a block took, and its error where it fails."""
+    start = time.perf_counter()
+    try:
+        yield
+    except BaseException:
+        logger.exception("%s failed after %.3f s", what, time.perf_counter() - start)
+        raise
+    logger.log(level, "%s took %.3f s", what, time.perf_counter() - start)
+
+
+def timed(f: Callable) -> Callable:
+    """A function whose calls are timed in the log."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        with timed_block(f.__name__):
+            return f(*args, **kwargs)
+
+    return run
+
+
+def logged(f: Callable) -> Callable:
+    """A function whose calls, with the types of what they take and give, are logged."""
+
+    @functools.wraps(f)
+    def run(*args, **kwargs):
+        log.debug("%s(%s)", f.__name__, ", ".join([*(type(a).__name__ for a in args), *(f"{k}: {type(v).__name__}" for k, v in kwargs.items())]))
+        out = f(*args, **kwargs)
+        log.debug("%s gave %s", f.__name__, type(out).__name__)
+        return out
+
+    return run
