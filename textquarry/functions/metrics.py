@@ -27,6 +27,7 @@ def is_complex(word: Column) -> Column:
     return (F.length(word) > 2) & ~word.rlike(r"^\p{Lu}") & ~word.rlike("(?:es|ed|ing)$") & (syllables(F.lower(word)) >= 3)
 
 
+#: The bounds and patterns of misspelled are fixed values.
 def misspelled(word: Column) -> Column:
     low = F.lower(word)
     return (F.length(word) < 2) | (F.length(word) > 20) | low.rlike("[bcdfghjklmnpqrstvwxz]{4,}") | low.rlike("[aeiou]{4,}") | low.rlike(r"\d.*[a-z].*\d")

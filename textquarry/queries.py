@@ -28,9 +28,9 @@ def corpus_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.groupBy("lang").agg(F.count("*").alias("docs"), F.sum("chars").cast("long").alias("chars"), F.round(F.avg("n"), 6).alias("mean_words"))
 
 
-SQL["corpus_by_language"] = r"""
+SQL["corpus_by_language"] = rf"""
 with f as (select doc_id, text, lang from documents where text is not null qualify row_number() over (partition by sha256(text) order by doc_id) = 1),
-w as (select *, regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') as w from f where length(text) between 10 and 10000)
+w as (select *, regexp_extract_all(lower(text), '{WORD}') as w from f where length(text) between 10 and 10000)
 select lang, count(*) as docs, cast(sum(length(text)) as bigint) as chars, round(avg(len(w)), 6) as mean_words from w
-where len(list_filter(w, lambda x: x in ('hate','racist','sexist','offensive','discrimination','violence','threat','harassment','bullying','abuse'))) <= 0.3 * len(w)
+where len(list_filter(w, lambda x: x in ({', '.join(map(repr, TOXIC))}))) <= 0.3 * len(w)
 group by lang"""

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from textquarry.functions import metrics as M
 from textquarry.functions import text as T
-from textquarry.functions.cleaning import TextCleaner, collapse_blanks, remove_control, remove_emails, remove_urls
-from textquarry.functions.language import detect_language
+from textquarry.functions.cleaning import EMAIL, URL, TextCleaner, collapse_blanks, remove_control, remove_emails, remove_urls
+from textquarry.functions.language import FUNCTION_WORDS, detect_language
 from textquarry.operators import dedup as D
 from textquarry.operators import filters as FL
 from textquarry.operators import splits as S
@@ -131,10 +131,19 @@ union all select 'spelling_error_ratio', round(avg(c), 6), round(min(c), 6), rou
 
 @query
 def lexical_diversity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Forward MTLD; a scan with a growing set, which SQL cannot say."""
+    """Forward MTLD."""
     return _docs(spark, sf_dir).filter("text is not null").select("doc_id", F.round(M.lexical_diversity("text"), 6).alias("mtld"))
 
 
+_SEEN = "case when list_contains(a.seen, e.w) then a.seen else list_append(a.seen, e.w) end"
+_FULL = f"(len({_SEEN})::double / (a.n + 1) <= 0.72)"
+SQL["lexical_diversity"] = rf"""with w as (select doc_id, regexp_extract_all(lower(text), '{_W}') as lw from documents where text is not null),
+f as (select doc_id, lw, list_reduce(list_prepend({{'w': '', 'seen': []::varchar[], 'n': 0::bigint, 'runs': []::bigint[]}}, list_transform(lw, lambda x: {{'w': x, 'seen': []::varchar[], 'n': 0::bigint, 'runs': []::bigint[]}})),
+        lambda a, e: {{'w': e.w, 'seen': case when {_FULL} then []::varchar[] else {_SEEN} end, 'n': case when {_FULL} then 0 else a.n + 1 end, 'runs': case when {_FULL} and a.n + 1 >= 10 then list_append(a.runs, a.n + 1) else a.runs end}}) as z from w),
+r as (select doc_id, lw, case when z.n >= 10 then list_append(z.runs, z.n) else z.runs end as runs from f)
+select doc_id, round(case when len(lw) < 50 or len(runs) = 0 then 0.0::double else list_sum(runs)::double / len(runs) end, 6) as mtld from r"""
+
+
 @query
 def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = M.measured(_docs(spark, sf_dir)).select("doc_id", F.round(M.perplexity(), 5).alias("perplexity"), (M.perplexity() <= 1000).alias("kept"))
@@ -216,6 +225,26 @@ def language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select(detect_language(F.col("text")).alias("detected")).groupBy("detected").agg(F.count("*").alias("docs"))
 
 
+def _votes(lang: str) -> str:
+    return f"len(list_filter(lw, lambda x: x in ({', '.join(repr(w) for w in FUNCTION_WORDS[lang])})))"
+
+
+_STRIPPED = f"regexp_replace(text, '^{_B}+|{_B}+$', '', 'g')"
+_VOTED = rf"v as (select doc_id, text, regexp_extract_all(lower(text), '{_W}') as lw from documents)"
+SQL["language_vote"] = f"""with {_VOTED}, n as (select text, [{', '.join(f"{{'n': -{_votes(lang)}, 'lang': '{lang}'}}" for lang in FUNCTION_WORDS)}] as votes from v)
+select case when length({_STRIPPED}) >= 50 then list_sort(list_filter(votes, lambda v: v.n < 0))[1].lang end as detected, count(*) as docs from n group by 1"""
+
+
+@query
+def language_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of which half of the votes are for German or English, and those too short to tell."""
+    return FL.language_filter(["de", "en"], 0.5).apply(_docs(spark, sf_dir)).select("doc_id")
+
+
+SQL["language_filter"] = f"""with {_VOTED}, n as (select doc_id, text, {_votes("de")} as de, {_votes("en")} as en, {' + '.join(map(_votes, FUNCTION_WORDS))} as total from v)
+select doc_id from n where text is null or length({_STRIPPED}) < 50 or total = 0 or greatest(de, en)::double / total >= 0.5"""
+
+
 # ---- cleaning ----------------------------------------------------------------------------------------
 
 
@@ -226,12 +255,21 @@ def clean_basic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).filter("text is not null").select("doc_id", t.alias("t")).select("doc_id", F.length("t").cast("long").alias("chars"), F.sha2("t", 256).alias("digest"))
 
 
-_URL_SQL = r"http[s]?://(?:[a-zA-Z]|[0-9]|[$-_@.&+]|[!*\(\),]|(?:%[0-9a-fA-F][0-9a-fA-F]))+"
-_MAIL_SQL = r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
-SQL["clean_basic"] = rf"""with c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '{_URL_SQL}', '', 'g'), '{_MAIL_SQL}', '', 'g'), '{_B}+', ' ', 'g'), '^{_B}+|{_B}+$', '', 'g') as t from documents where text is not null)
+SQL["clean_basic"] = rf"""with c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '{URL}', '', 'g'), '{EMAIL}', '', 'g'), '{_B}+', ' ', 'g'), '^{_B}+|{_B}+$', '', 'g') as t from documents where text is not null)
 select doc_id, length(t) as chars, sha256(t) as digest from c"""
 
 
+@query
+def clean_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own patterns in order, then white space; texts of 200 to 2,000 characters are kept."""
+    own = TextCleaner(remove_html=False, fix_encoding=False, normalize_unicode=False, min_length=200, max_length=2000, custom_patterns={"[0-9]+": "0", r"\(([^()]*)\)": r"[\1]", "[$]": "USD$"})
+    return own.clean(_docs(spark, sf_dir).filter("text is not null").select("doc_id", "text"), ("text",)).select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+SQL["clean_patterns"] = rf"""with c as (select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g'), '[0-9]+', '0', 'g'), '\(([^()]*)\)', '[\1]', 'g'), '[$]', 'USD$', 'g'), '{_B}+', ' ', 'g'), '^{_B}+|{_B}+$', '', 'g') as t from documents where text is not null)
+select doc_id, sha256(t) as digest from c where length(t) between 200 and 2000"""
+
+
 @query
 def clean_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain with HTML, encoding and normal forms."""
@@ -339,10 +377,22 @@ SQL["word_set_members"] = f"with s as (select doc_id, {_SET} as w from documents
 
 @query
 def content_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents kept by first-wins over word overlap and length; compared with brute force in the tests."""
+    """Documents kept by first-wins over word overlap and length."""
     return D.content_dedup(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id")
 
 
+def _first_wins_sql(words: str, length_ratio: float, similar: str, empty: str) -> str:
+    """Pairs in the order of the later document; one falls where an earlier one that has not fallen is similar."""
+    return f"""with s as (select doc_id, length(text) as n, {words} as w from documents where text is not null), u as (select doc_id, n, len(w) as k, unnest(w) as x from s),
+j as (select a.doc_id as a, b.doc_id as b, any_value(a.k) as ka, any_value(b.k) as kb, count(*) as c from u a join u b on a.x = b.x and a.doc_id < b.doc_id and least(a.k, b.k) >= 0.9 * greatest(a.k, b.k) - 1e-9 and least(a.n, b.n) >= {length_ratio} * greatest(a.n, b.n) group by 1, 2),
+p as (select a, b from j where c::double / (ka + kb - c) {similar} {empty}),
+f as (select list_reduce(list_prepend([]::bigint[], list([a, b] order by b, a)), lambda fallen, e: case when list_contains(fallen, e[1]) then fallen else list_append(fallen, e[2]) end) as fallen from p)
+select doc_id from documents, f where not coalesce(list_contains(fallen, doc_id), false)"""
+
+
+SQL["content_dedup"] = _first_wins_sql(_SET, 0.8, "> 0.9 + 1e-12", "union select a.doc_id, b.doc_id from s a join s b on a.n = 0 and b.n = 0 and a.doc_id < b.doc_id")
+
+
 @query
 def minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.minhash_dedup(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id")
@@ -353,6 +403,9 @@ def duplicate_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return FL.duplicate_filter(_docs(spark, sf_dir).select("doc_id", "text")).select("doc_id")
 
 
+SQL["duplicate_filter"] = _first_wins_sql(f"list_distinct(regexp_extract_all(lower(text), '{_W}'))", 0.0, ">= 0.9 - 1e-12", "")
+
+
 # ---- validation and statistics -----------------------------------------------------------------------
 
 

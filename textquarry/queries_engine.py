@@ -7,11 +7,14 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.functions import text as T
 from textquarry.operators import augmentation as A
+from textquarry.operators import splits
 from textquarry.operators import synthetic as Y
+from textquarry.plans import versioning
 from textquarry.registry import SQL, query
 from textquarry.runtime import ensure_checkpoint_dir, table
-from textquarry.sources import api, files, sinks, web
+from textquarry.sources import api, datasets, files, sinks, web
 from textquarry.streaming import monitoring as MON
 
 
@@ -100,6 +103,73 @@ def post_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
 SQL["post_versions"] = "select post_id, strftime(max(fetched_at), '%Y-%m-%d %H:%M:%S') as fetched_at, (list(score order by fetched_at desc, coalesce(score, -1) desc))[1] as score, count(*) as deliveries from posts group by post_id"
 
 
+@query
+def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles and topics written as CSV and read as records with their columns."""
+    path = _shared(spark, "csv")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("title", "[\r\n]+", " ").alias("title"), "topic")
+    d.write.options(header=True, escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).csv(path)
+    r = files.read_csv(spark, f"{path}/part-*")
+    return r.select("content.doc_id", "format", F.sha2(F.coalesce("content.title", F.lit("")), 256).alias("title"), F.coalesce("content.topic", F.lit("")).alias("topic"))
+
+
+SQL["csv_rows"] = "select doc_id::int as doc_id, 'csv' as format, sha256(coalesce(regexp_replace(title, '[\r\n]+', ' ', 'g'), '')) as title, coalesce(topic, '') as topic from documents"
+
+
+@query
+def text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts written to plain files and read line by line: stripped lines that are not blank, how often each."""
+    path = _shared(spark, "lines")
+    table(spark, sf_dir, "documents").filter("text is not null").select("text").write.text(path)
+    lines = files.read_txt(spark, f"{path}/part-*").select(F.sha2("text", 256).alias("line"))
+    return lines.groupBy("line").agg(F.count("*").alias("times"))
+
+
+_BLANK_SQL = T.BLANK.replace("\\t", "\t").replace("\\n", "\n").replace("\\f", "\f").replace("\\r", "\r")
+SQL["text_lines"] = f"""with l as (select unnest(regexp_split_to_array(text, '\r\n|\r|\n')) as x from documents where text is not null), s as (select regexp_replace(x, '^{_BLANK_SQL}+|{_BLANK_SQL}+$', '', 'g') as x from l)
+select sha256(x) as line, count(*) as times from s where x <> '' group by 1"""
+
+
+@query
+def parquet_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two columns of a Parquet file as records, with the file they come from."""
+    r = files.read_parquet(spark, f"{sf_dir}/papers.parquet", ["paper_id", "title"])
+    return r.select("content.paper_id", "content.title", "format", F.col("source").contains("papers.parquet").cast("int").alias("from_papers"))
+
+
+SQL["parquet_rows"] = "select paper_id, title, 'parquet' as format, 1 as from_papers from papers"
+
+
+@query
+def version_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table, the same rows in another order, and a changed one as versions: rows that only one of them has."""
+    tracker = versioning.DatasetTracker(spark, _shared(spark, "versions"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    a = tracker.create(d, "labels")
+    same = tracker.create(d.repartition(3, "lang"), "again")
+    b = tracker.create(d.withColumn("lang", F.lower("lang")), "lower")
+    told = tracker.compare(a, b, rows=True)
+    row = (len(tracker.versions), int(a == same), tracker.get(a).documents, told["document_difference"], told["only_in_first"], told["only_in_second"])
+    return spark.createDataFrame([row], "versions long, same int, documents long, difference long, only_in_first long, only_in_second long")
+
+
+SQL["version_changes"] = "select 2::bigint as versions, 1 as same, count(*) as documents, 0::bigint as difference, count(*) filter (where lower(lang) <> lang) as only_in_first, count(*) filter (where lower(lang) <> lang) as only_in_second from documents"
+
+
+@query
+def split_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers as a dataset with splits, written, and read again split by split."""
+    path = _shared(spark, "dataset")
+    d = splits.random_split(table(spark, sf_dir, "papers").select("paper_id", "title"), {"train": 0.75, "test": 0.25}, "paper_id")
+    sinks.write_splits(d, path, "dataset")
+    parts = [datasets.load(spark, path, name).groupBy("split").agg(F.count("*").alias("rows"), F.sum("paper_id").alias("ids")) for name in ("train", "test")]
+    return parts[0].unionByName(parts[1])
+
+
+SQL["split_dataset"] = """with r as (select paper_id, row_number() over (order by sha256('42:' || paper_id), paper_id) as k, count(*) over () as n from papers)
+select case when k <= floor(n * 0.75 + 1e-9) then 'train' else 'test' end as split, count(*) as rows, sum(paper_id)::bigint as ids from r group by 1"""
+
+
 @query
 def jsonl_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents written as JSON lines with a mapping and read again."""
