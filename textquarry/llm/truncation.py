@@ -25,7 +25,7 @@ NEAR_LIMIT = 60
 #: A last line of so many characters at most is a heading, entry or name, which a writer may end without a mark.
 BRIEF_LINE = 44
 
-_TOKEN = r"[\\p{L}\\p{N}]+(?:[\\x27’-][\\p{L}\\p{N}]+)*|[.!?\\n]"
+_TOKEN = r"[\\p{L}\\p{N}]++(?:[\\x27’-][\\p{L}\\p{N}]++)*+|[.!?\\n]"
 _MARKS = "('.', '!', '?', '\\n')"
 
 #: Counts of every trigram: followed by a word, or by an end mark or a line's end. A sentence's start stands for the words before it.
@@ -91,22 +91,22 @@ _HEADING = r"^\\s*(?:#{1,6}\\s|={2,}.*={2,}\\s*$|\\\\(?:sub)*section)"
 #: Words that no language has: overlong, letters among digits, or six consonants in a row.
 _ODD = r"(?i)(?<![\\p{L}\\p{N}])(?=[\\p{L}\\p{N}]{5})(?:[\\p{L}\\p{N}]{23,}|(?=\\p{L}*\\p{N}+\\p{L}|\\p{L}+\\p{N})[\\p{L}\\p{N}]+|\\p{L}*[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщъь]{6}\\p{L}*)"
 
-#: What a line x of so many words is by its signs and words, as in problem 4: a row of cells, an entry, a short line,
+#: What a line y.x of y.words words, which an end mark closes or not, is by its signs and words, as in problem 4: a row of cells, an entry, a short line,
 #: running text or odd. The usual case comes first.
 _LINE_KIND = rf"""case
- when words >= 12 and x rlike '{_ENDS}' and not x rlike '[|\t]| & ' then 'prose'
- when regexp_count(x, '{_LOG}') >= 2 or (x rlike '^[^\\p{{L}}\\t|,;]*$' and not x rlike ' {{2,}}') then 'odd'
- when not x rlike '{_ENDS}' and regexp_count(x, '{_FURNITURE}') >= 0.25 * words then 'odd'
- when regexp_count(x, '\\|') >= 2 or x rlike '\\|\\||!!|^\\s*\\|' or x rlike '\\s&\\s.*(?:\\\\\\\\|\\\\hline)\\s*$' then 'table'
- when trim(x) like '%\t%' and words < 8 * (1 + regexp_count(trim(x), '\\t+')) then 'table'
- when x rlike '{_ENDS}' then if(x rlike '{_MARK}' and words <= 9, 'list', 'prose')
- when x like '%  %' and regexp_count(trim(x), '(?<=\\S) {{2,}}(?=\\S)') >= 2 and regexp_count(trim(x), ' {{2,}}') * 2 >= regexp_count(trim(x), '(?<! ) (?! )') then 'table'
- when not x rlike '[,;] ' and greatest(regexp_count(x, ',(?! )'), regexp_count(x, ';(?! )')) >= 2 then 'table'
- when words <= 16 and x rlike '{_MARK}' then 'list'
- when x like '%; %; %' and not exists(split(x, ';'), z -> size(split(trim(z), '\\s+')) > 8) then 'list'
- when regexp_count(x, '{_ODD}') > 0.3 * words then 'odd'
- when x rlike '{_HEADING}' then 'prose'
- when words <= 7 then 'short' else 'prose' end"""
+ when y.words >= 12 and y.ended and not y.x rlike '[|\t]| & ' then 'prose'
+ when (y.x rlike '=|\\d:\\d' and regexp_count(y.x, '{_LOG}') >= 2) or (y.x rlike '^[^\\p{{L}}\\t|,;]*$' and not y.x rlike ' {{2,}}') then 'odd'
+ when not y.ended and regexp_count(y.x, '{_FURNITURE}') >= 0.25 * y.words then 'odd'
+ when regexp_count(y.x, '\\|') >= 2 or y.x rlike '\\|\\||!!|^\\s*\\|' or y.x rlike '\\s&\\s.*(?:\\\\\\\\|\\\\hline)\\s*$' then 'table'
+ when trim(y.x) like '%\t%' and y.words < 8 * (1 + regexp_count(trim(y.x), '\\t+')) then 'table'
+ when y.ended then if(y.x rlike '{_MARK}' and y.words <= 9, 'list', 'prose')
+ when y.x like '%  %' and regexp_count(trim(y.x), '(?<=\\S) {{2,}}(?=\\S)') >= 2 and regexp_count(trim(y.x), ' {{2,}}') * 2 >= regexp_count(trim(y.x), '(?<! ) (?! )') then 'table'
+ when not y.x rlike '[,;] ' and greatest(regexp_count(y.x, ',(?! )'), regexp_count(y.x, ';(?! )')) >= 2 then 'table'
+ when y.words <= 16 and y.x rlike '{_MARK}' then 'list'
+ when y.x like '%; %; %' and not exists(split(y.x, ';'), z -> size(split(trim(z), '\\s+')) > 8) then 'list'
+ when regexp_count(y.x, '{_ODD}') > 0.3 * y.words then 'odd'
+ when y.x rlike '{_HEADING}' then 'prose'
+ when y.words <= 7 then 'short' else 'prose' end"""
 
 #: Texts most of whose words run in sentences; four and more short lines are an enumeration, and a few words over and
 #: over are junk. Each view holds a value that is worked out once, however often it is used.
@@ -114,9 +114,9 @@ PROSE = rf"""
 select doc_id, source, chars, bytes, text
 from {{ends}} lateral view explode(array({{plain}})) as plain
 lateral view explode(array(filter(split(plain, '[\\r\\n]+'), x -> x rlike '\\S' and not x rlike '{_SET_UP}'))) as lines
-lateral view explode(array(transform(lines, x -> if(x rlike '\\p{{L}}', regexp_count(x, '{_WORD}'), size(split(trim(x), '\\s+')))))) as counts
-lateral view explode(array(zip_with(lines, counts, (x, words) -> named_struct('k', {_LINE_KIND}, 'w', words)))) as kinds
-lateral view explode(array(aggregate(counts, 0, (a, w) -> a + w))) as n
+lateral view explode(array(transform(lines, x -> named_struct('x', x, 'ended', x rlike '{_ENDS}', 'words', if(x rlike '\\p{{L}}', regexp_count(x, '{_WORD}'), size(split(trim(x), '\\s+'))))))) as counts
+lateral view explode(array(transform(counts, y -> named_struct('k', {_LINE_KIND}, 'w', y.words)))) as kinds
+lateral view explode(array(aggregate(counts, 0, (a, y) -> a + y.words))) as n
 lateral view explode(array(if(n < 12, 99, size(array_distinct(regexp_extract_all(lower(plain), '{_WORD}', 0)))))) as different
 where n > 0 and not (different <= 8 and different < 0.4 * n)
   and aggregate(filter(kinds, y -> y.k = 'prose' or (y.k = 'short' and size(filter(kinds, z -> z.k = 'short')) < 4)), 0, (a, y) -> a + y.w) >= 0.5 * n
@@ -159,35 +159,30 @@ from lengths l join most m on l.source = m.source group by l.source
 NEAR = "select t.* from {trigrams} t left semi join (select distinct w1, w2 from {finals}) a on t.w1 = a.w1 and t.w2 = a.w2"
 
 #: What is asked of the counts. Longer words in a final word's place are found by their beginnings: the beginnings of
-#: words, of the lengths that final words have, are written out once and joined as equal keys.
+#: words, of the lengths that final words have, are written out beside the words themselves and joined as equal keys.
 JUDGED = """
-with bigrams as (select w2, w3, sum(inside) as inside, sum(ends) as ends from {trigrams} group by w2, w3),
-     words as (select w3, sum(inside) as inside, sum(ends) as ends from {trigrams} group by w3),
-     asked as (select distinct w1, w2, w3 from {finals}),
-     asked_pairs as (select distinct w2, w3 from {finals} where w2 <> '¶'),
-     longer as (select b.w1, b.w2, b.w3, sum(b.n) as n
-                from (select w1, w2, inside + ends as n, explode(transform(filter({lengths}, k -> k < length(w3)), k -> left(w3, k))) as w3 from {near}) b
-                left semi join asked a on a.w1 = b.w1 and a.w2 = b.w2 and a.w3 = b.w3 group by b.w1, b.w2, b.w3),
-     longer_pairs as (select b.w2, b.w3, sum(b.n) as n
-                      from (select p.w2, inside + ends as n, explode(transform(filter({lengths}, k -> k < length(p.w3)), k -> left(p.w3, k))) as w3
-                            from bigrams p left semi join (select distinct w2 from asked_pairs) s on p.w2 = s.w2) b
-                      left semi join asked_pairs a on a.w2 = b.w2 and a.w3 = b.w3 group by b.w2, b.w3),
-     unknown as (select a.w3 from (select distinct w3 from asked where length(w3) >= 3) a left anti join words w on a.w3 = w.w3),
-     longer_words as (select b.w3, sum(b.n) as n from (select inside + ends as n, explode(transform(filter({lengths}, k -> k >= 3 and k < length(w3)), k -> left(w3, k))) as w3 from words) b
-                      left semi join unknown u on u.w3 = b.w3 group by b.w3)
+with triples as (select b.w1, b.w2, b.w3, sum(if(own, inside, 0)) as inside, sum(if(own, ends, 0)) as ends, sum(if(own, 0, inside + ends)) as longer
+                 from (select w1, w2, left(w3, k) as w3, k = length(w3) as own, inside, ends from (select *, explode({beginnings}) as k from {near})) b
+                 left semi join (select distinct w1, w2, w3 from {finals}) a on a.w1 = b.w1 and a.w2 = b.w2 and a.w3 = b.w3 group by b.w1, b.w2, b.w3),
+     pairs as (select b.w2, b.w3, sum(if(own, inside, 0)) as inside, sum(if(own, ends, 0)) as ends, sum(if(own, 0, inside + ends)) as longer
+               from (select w2, left(w3, k) as w3, k = length(w3) as own, inside, ends
+                     from (select *, explode({beginnings}) as k from (select w2, w3, sum(inside) as inside, sum(ends) as ends from {trigrams} where w2 <> '¶' group by w2, w3) p
+                           left semi join (select distinct w2 from {finals}) s on p.w2 = s.w2)) b
+               left semi join (select distinct w2, w3 from {finals}) a on a.w2 = b.w2 and a.w3 = b.w3 group by b.w2, b.w3),
+     words as (select b.w3, sum(if(own, n, 0)) as known, sum(if(own, 0, n)) as longer
+               from (select left(w3, k) as w3, k = length(w3) as own, n from (select *, explode({beginnings}) as k from (select w3, sum(inside + ends) as n from {trigrams} group by w3))) b
+               left semi join (select distinct w3 from {finals} where length(w3) >= 3) a on a.w3 = b.w3 group by b.w3)
 select f.doc_id, f.source,
-       not f.alone and (case when coalesce(t.inside, 0) + coalesce(t.ends, 0) >= {frequent} then t.inside >= {frequent} and t.ends <= {rarely} * t.inside
-                             else coalesce(b.inside >= {frequent} and b.ends <= {rarely} * b.inside and f.w2 <> '¶', false) end) as in_sentence,
-       coalesce(l.n >= {frequent} and coalesce(t.inside, 0) + coalesce(t.ends, 0) < {rarely} * l.n, false)
-         or (not f.alone and coalesce(l.n, 0) < {frequent} and coalesce(p.n >= {frequent} and coalesce(b.inside, 0) + coalesce(b.ends, 0) < {rarely} * p.n, false))
-         or (not f.alone and f.w1 <> '¶' and coalesce(u.n >= {frequent}, false)) as in_word,
+       not f.alone and (case when coalesce(t.inside + t.ends, 0) >= {frequent} then t.inside >= {frequent} and t.ends <= {rarely} * t.inside
+                             else coalesce(p.inside >= {frequent} and p.ends <= {rarely} * p.inside, false) end) as in_sentence,
+       coalesce(t.longer >= {frequent} and t.inside + t.ends < {rarely} * t.longer, false)
+         or (not f.alone and coalesce(t.longer, 0) < {frequent} and coalesce(p.longer >= {frequent} and p.inside + p.ends < {rarely} * p.longer, false))
+         or (not f.alone and f.w1 <> '¶' and coalesce(u.known = 0 and u.longer >= {frequent}, false)) as in_word,
        not f.brief and coalesce((m.by_chars and f.chars between m.chars_limit - {window} + 1 and m.chars_limit) or (m.by_bytes and f.bytes between m.bytes_limit - {window} + 1 and m.bytes_limit), false) as at_limit
 from {finals} f
-left join {near} t on f.w1 = t.w1 and f.w2 = t.w2 and f.w3 = t.w3
-left join bigrams b on f.w2 = b.w2 and f.w3 = b.w3
-left join longer l on f.w1 = l.w1 and f.w2 = l.w2 and f.w3 = l.w3
-left join longer_pairs p on f.w2 = p.w2 and f.w3 = p.w3
-left join longer_words u on f.w3 = u.w3
+left join triples t on f.w1 = t.w1 and f.w2 = t.w2 and f.w3 = t.w3
+left join pairs p on f.w2 = p.w2 and f.w3 = p.w3
+left join words u on f.w3 = u.w3
 left join {limits} m on f.source = m.source
 """
 
@@ -214,7 +209,7 @@ def unfinished(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     limits = materialize(_run(spark, LIMITS.replace("{texts}", str(LIMIT_TEXTS)).replace("{share}", str(LIMIT_SHARE)), docs=docs))
     near = materialize(_run(spark, NEAR, trigrams=trigrams, finals=finals))
     lengths = finals.agg(F.array_sort(F.collect_set(F.length("w3")))).first()[0]  # different lengths of words
-    fixed = {"frequent": FREQUENT, "rarely": RARELY_ENDS, "window": NEAR_LIMIT, "lengths": f"cast(array({', '.join(map(str, lengths))}) as array<int>)"}
+    fixed = {"frequent": FREQUENT, "rarely": RARELY_ENDS, "window": NEAR_LIMIT, "beginnings": f"array_append(filter(cast(array({', '.join(map(str, lengths))}) as array<int>), k -> k < length(w3)), length(w3))"}
     sql = JUDGED
     for name, value in fixed.items():
         sql = sql.replace("{" + name + "}", str(value))
