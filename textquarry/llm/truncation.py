@@ -207,7 +207,7 @@ def unfinished(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     ends = _run(spark, PROSE.replace("{plain}", _plain("text")), ends=_run(spark, OPEN_ENDED, docs=docs))
     finals = materialize(_run(spark, FINALS.replace("{clean}", _cleaned("text")), ends=ends))
     limits = materialize(_run(spark, LIMITS.replace("{texts}", str(LIMIT_TEXTS)).replace("{share}", str(LIMIT_SHARE)), docs=docs))
-    near = materialize(_run(spark, NEAR, trigrams=trigrams, finals=finals))
+    near = _run(spark, NEAR, trigrams=trigrams, finals=finals)
     lengths = finals.agg(F.array_sort(F.collect_set(F.length("w3")))).first()[0]  # different lengths of words
     fixed = {"frequent": FREQUENT, "rarely": RARELY_ENDS, "window": NEAR_LIMIT, "beginnings": f"array_append(filter(cast(array({', '.join(map(str, lengths))}) as array<int>), k -> k < length(w3)), length(w3))"}
     sql = JUDGED
