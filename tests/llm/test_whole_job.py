@@ -113,3 +113,23 @@ def test_offsets_at_both_ends_of_a_replaced_span():
     s = fixed.index("Größe")
     assert fixed == "vor Größe nach" and damaged[encoding.offset_before(passes, s) : encoding.offset_before(passes, s + 5, end=True)] == "GrÃ¶ÃŸe"
     assert damaged[encoding.offset_before(passes, fixed.index("nach")) :] == "nach"
+
+
+def test_items_beyond_the_bound_are_refused(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "which river flows through the largest city of the northern province")], "doc_id long, text string")
+    items = spark.createDataFrame([(7, "which river flows through the largest city of the northern province?"), (8, None)], "item_id long, text string")
+    assert [(r.doc_id, r.item_id) for r in leaks.leaked_items(docs, items).collect()] == [(1, 7)]
+    assert leaks.leaked_items(docs, items.limit(0)).count() == 0
+    monkeypatch.setattr(leaks, "MOST_ITEM_CHARS", 10)
+    with pytest.raises(ValueError, match="in parts"):
+        leaks.leaked_items(docs, items)
+
+
+@pytest.mark.parametrize("cut", [0, 3, 6])
+def test_leaks_that_open_a_text_inside_the_item(cut):
+    item = "which river flows through the largest city of the northern province near the old harbour of Velri"
+    items = leaks.Items([(1, item + "?"), (2, "how many stones were used for the tall bridge")])
+    items.prepare()
+    passage = " ".join(item.split()[cut:])
+    (_, share, start, end), *_ = leaks.leaks(items, passage + ". Then came other words of the text.")
+    assert (start, end) == (0, len(passage)) and share == (17 - cut) / 17

@@ -15,6 +15,7 @@ from collections import Counter, defaultdict
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from textquarry.llm.encoding import offset_before, repair_spans
 from textquarry.runtime import map_texts
@@ -26,6 +27,8 @@ LEAST_SHARE = 0.5
 #: Share that the rare words must keep, within the part of the item that the passage covers: names and figures tell an
 #: item from others of like build.
 LEAST_RARE = 0.5
+#: Characters of all items together that are sent to the tasks.
+MOST_ITEM_CHARS = 20_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _DROP = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]*>|&(?:amp;)?lt;/?[A-Za-z](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*&(?:amp;)?gt;|&#?\w{2,31};|\\[A-Za-z]+\*?|\]\([^()\s]*\)", re.S)
@@ -177,8 +180,12 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("share", pa.
 def leaked_items(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, share, start, end of every leak. Null and blank texts and items give none; repeated rows repeat.
 
-    The items are collected and sent to the tasks: an evaluation set is given by hand and fixed, whatever the corpus.
+    The items are collected and sent to the tasks: an evaluation set is given by hand and fixed, whatever the corpus. Its
+    size is checked before: beyond MOST_ITEM_CHARS it must be searched for in parts, each a table of its own.
     """
+    chars = benchmark.agg(F.coalesce(F.sum(F.length(item_text)), F.lit(0))).first()[0]
+    if chars > MOST_ITEM_CHARS:
+        raise ValueError(f"evaluation items of {chars} characters; give them in parts of at most {MOST_ITEM_CHARS}")
     items = Items([(r[0], r[1]) for r in benchmark.select(item_col, item_text).filter(f"{item_text} is not null").collect()])
     shared = df.sparkSession.sparkContext.broadcast(items)
 
