@@ -8,6 +8,9 @@ means that the word was. Lengths at which a source stops again and again tell it
 
 from __future__ import annotations
 
+from itertools import groupby
+from operator import itemgetter
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,7 +89,8 @@ _SET_UP = r"^\\s*(?:\\{\\||\\|\\}|\\|-|\\|?[\\s:|-]+\\|?$|\\\\(?:begin|end)\\{[^
 _MARK = r"^\\s*(?:[-*+•·–—▪◦‣o]\\s+|\\*+\\s*|#+\\s*(?=\\[\\[)|\\(?\\d{1,3}[.)\\]:]\\s+|\\(\\d{1,3}\\)|\\(?[A-Za-zа-я][.)]\\s+|\\[\\d{1,3}\\]\\s+|\\\\item\\b|[ivxIVX]{1,5}[.)]\\s+|[A-Z]\\d?[.:]\\s+|\\[[ xX]\\]\\s+)"
 _ENDS = r"[.!?…。][\\x27\"”’»)\\]*_~]*\\s*(?:\\\\\\\\|\\[\\d+\\]|~?\\\\cite\\{[^}]*\\})?\\s*$"
 _LOG = r"\\b\\w+=[\\w./:-]+|\\d{4}-\\d\\d-\\d\\d[ T]\\d\\d:\\d\\d|\\b(?:INFO|WARN|ERROR|DEBUG)\\b"
-_FURNITURE = rf"(?i)\\b(?:{'|'.join(sorted(FURNITURE))})\\b"
+#: Words of page furniture, in lower case and by their first letters, so that most words are passed over at once.
+_FURNITURE = rf"\\b(?:{'|'.join(f'{c}(?:{"|".join(w[1:] for w in ws)})' for c, ws in groupby(sorted(FURNITURE), key=itemgetter(0)))})\\b"
 _HEADING = r"^\\s*(?:#{1,6}\\s|={2,}.*={2,}\\s*$|\\\\(?:sub)*section)"
 #: Words that no language has: overlong, letters among digits, or six consonants in a row.
 _ODD = r"(?i)(?<![\\p{L}\\p{N}])(?=[\\p{L}\\p{N}]{5})(?:[\\p{L}\\p{N}]{23,}|(?=\\p{L}*\\p{N}+\\p{L}|\\p{L}+\\p{N})[\\p{L}\\p{N}]+|\\p{L}*[bcdfghjklmnpqrstvwxzбвгджзйклмнпрстфхцчшщъь]{6}\\p{L}*)"
@@ -96,7 +100,7 @@ _ODD = r"(?i)(?<![\\p{L}\\p{N}])(?=[\\p{L}\\p{N}]{5})(?:[\\p{L}\\p{N}]{23,}|(?=\
 _LINE_KIND = rf"""case
  when y.words >= 12 and y.ended and not y.x rlike '[|\t]| & ' then 'prose'
  when (y.x rlike '=|\\d:\\d' and regexp_count(y.x, '{_LOG}') >= 2) or (y.x rlike '^[^\\p{{L}}\\t|,;]*$' and not y.x rlike ' {{2,}}') then 'odd'
- when not y.ended and regexp_count(y.x, '{_FURNITURE}') >= 0.25 * y.words then 'odd'
+ when not y.ended and regexp_count(lower(y.x), '{_FURNITURE}') >= 0.25 * y.words then 'odd'
  when regexp_count(y.x, '\\|') >= 2 or y.x rlike '\\|\\||!!|^\\s*\\|' or y.x rlike '\\s&\\s.*(?:\\\\\\\\|\\\\hline)\\s*$' then 'table'
  when trim(y.x) like '%\t%' and y.words < 8 * (1 + regexp_count(trim(y.x), '\\t+')) then 'table'
  when y.ended then if(y.x rlike '{_MARK}' and y.words <= 9, 'list', 'prose')
@@ -148,11 +152,12 @@ where (back rlike '{_DOTS}' or not back rlike '{_ENDED}') and size(t) > 0 and ge
 #: Lengths, in characters and in bytes, beyond which hardly a text of a source goes and at which many of them stop.
 LIMITS = """
 with lengths as (select source, length(text) as c, octet_length(text) as b, count(*) as n from {docs} where text is not null and source is not null group by 1, 2, 3),
-     most as (select source, percentile_approx(c, 0.995, 10000) as c, percentile_approx(b, 0.995, 10000) as b from (select source, length(text) as c, octet_length(text) as b from {docs} where text is not null and source is not null) group by source)
+     upto as (select *, sum(n) over (partition by source order by c) as to_c, sum(n) over (partition by source order by b) as to_b, sum(n) over (partition by source) as total from lengths),
+     most as (select source, min(case when to_c >= 0.995 * total then c end) as c, min(case when to_b >= 0.995 * total then b end) as b from upto group by source)
 select l.source, any_value(m.c) as chars_limit, any_value(m.b) as bytes_limit,
        sum(case when l.c = m.c then l.n else 0 end) >= greatest({texts}, {share} * sum(l.n)) as by_chars,
        sum(case when l.b = m.b then l.n else 0 end) >= greatest({texts}, {share} * sum(l.n)) as by_bytes
-from lengths l join most m on l.source = m.source group by l.source
+from upto l join most m on l.source = m.source group by l.source
 """
 
 #: Trigrams that begin like a final one: all that its own count and the words usual in its place need.
