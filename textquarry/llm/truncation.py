@@ -42,27 +42,37 @@ where w3 is not null and w4 is not null and w3 not in {_MARKS}
 group by 1, 2, 3
 """
 
-#: (pattern of markup, what it leaves)
+#: (signs without one of which nothing is to be cleared, (pattern of markup, what it leaves) in order)
 _CLEAN = (
-    (r"(?s)<(style|script)\\b.*?(?:</\\1>|$)|<!--.*?-->", ". "),
-    (r"(?s)```.*?(?:```|$)", ". "),
-    (r"(?s)\\\\begin\\{[a-z]*\\}.*?\\\\end\\{[a-z]*\\}", ". "),
-    (r"!\\[[^\\]\\n]*\\]\\([^)\\s]*\\)", ". "),
-    (r"\\[([^\\]\\n]*)\\]\\([^)\\s]*\\)", "$1"),
-    (r"\\[\\[(?:Category|File|Kategorie|Categoría|Catégorie|Categoria|Categorie|Категория):[^\\]]*\\]\\]", "."),
-    (r"~?\\\\(?:cite|label|ref|footnote)\\w*\\{[^}]*\\}", ""),
-    (r"<ref[^>]*>.*?</ref>", ""),
-    (r"(?:https?://|www\\.)\\S+|[^\\s@]+@[^\\s@]+\\.\\w+", "."),
-    (r"</?[A-Za-z][^<>]*>", ""),
-    (r"&(?:amp;)?lt;/?[A-Za-z](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*&(?:amp;)?gt;", ""),
+    (("<",), ((r"(?s)<(style|script)\\b.*?(?:</\\1>|$)|<!--.*?-->", ". "),)),
+    (("`",), ((r"(?s)```.*?(?:```|$)", ". "),)),
+    (("\\\\",), ((r"(?s)\\\\begin\\{[a-z]*\\}.*?\\\\end\\{[a-z]*\\}", ". "),)),
+    (
+        ("[",),
+        (
+            (r"!\\[[^\\]\\n]*\\]\\([^)\\s]*\\)", ". "),
+            (r"\\[([^\\]\\n]*)\\]\\([^)\\s]*\\)", "$1"),
+            (r"\\[\\[(?:Category|File|Kategorie|Categoría|Catégorie|Categoria|Categorie|Категория):[^\\]]*\\]\\]", "."),
+        ),
+    ),
+    (("\\\\",), ((r"~?\\\\(?:cite|label|ref|footnote)\\w*\\{[^}]*\\}", ""),)),
+    (("<",), ((r"<ref[^>]*>.*?</ref>", ""),)),
+    (("://", "www", "@"), ((r"(?:https?://|www\\.)\\S+|(?<![^\\s@])[^\\s@]++@[^\\s@]+\\.\\w+", "."),)),
+    (("<", "lt;"), ((r"</?[A-Za-z][^<>]*>", ""), (r"&(?:amp;)?lt;/?[A-Za-z](?:[^<>&]|&(?!(?:amp;)?[lg]t;))*&(?:amp;)?gt;", ""))),
 )
 
 
 def _cleaned(column: str) -> str:
-    out = column
-    for pattern, new in _CLEAN:
-        out = f"regexp_replace({out}, '{pattern}', '{new}')"
-    return f"case when {column} rlike '[<`\\\\[\\\\\\\\@]|://|www|lt;' then {out} else {column} end"
+    """Views in which the last, ``clean``, is the column without markup; each is worked out once and only where its signs are."""
+    views = []
+    for i, (signs, patterns) in enumerate(_CLEAN):
+        out = column
+        for pattern, new in patterns:
+            out = f"regexp_replace({out}, '{pattern}', '{new}')"
+        name = f"clean_{i}" if i < len(_CLEAN) - 1 else "clean"
+        views.append(f"lateral view explode(array(if({' or '.join(f"contains({column}, '{x}')" for x in signs)}, {out}, {column}))) as {name}")
+        column = name
+    return "\n".join(views)
 
 
 _WORD = r"[\\p{L}\\p{N}]+(?:[\\x27’-]\\p{L}+)*"
@@ -70,10 +80,10 @@ _WORD = r"[\\p{L}\\p{N}]+(?:[\\x27’-]\\p{L}+)*"
 _DOTS = r"^[\\])\\s]*+(?:…|\\.\\.\\.)"
 _ENDED = r"^[^\\p{L}\\p{N}]*?(?:.?€â)?[.!?]"
 
-#: Texts whose end, as it stands, is no end of a sentence.
+#: Texts whose end, as it stands, is no end of a sentence; the usual ends are told by their last sign.
 OPEN_ENDED = rf"""
 select doc_id, source, length(text) as chars, octet_length(text) as bytes, text from {{docs}}
-where text is not null and (reverse(text) rlike '{_DOTS}' or not reverse(text) rlike '{_ENDED}')
+where text is not null and not (endswith(text, '.') and not endswith(text, '...')) and not endswith(text, '?') and not endswith(text, '!') and (reverse(text) rlike '{_DOTS}' or not reverse(text) rlike '{_ENDED}')
 """
 
 #: (pattern of tags, what it leaves for lines and cells)
@@ -143,7 +153,8 @@ select doc_id, source, chars, bytes,
        case when size(t) < 2 or get(t, size(t) - 2) in {_MARKS} then '¶' else get(t, size(t) - 2) end as w2, get(t, size(t) - 1) as w3,
        tail rlike '(?:^|\\n)[^\\p{{L}}\\p{{N}}\\n]*[\\p{{L}}\\p{{N}}\\x27’-]+[^\\p{{L}}\\p{{N}}\\n]*$' as alone,
        back rlike '^[^\\p{{L}}\\p{{N}}]*+[^\\n]{{0,{BRIEF_LINE}}}\\n' as brief
-from {{ends}} lateral view explode(array(reverse(trim(trailing ' \t\n\r\u000b\u000c' from {{clean}})))) as back
+from {{ends}} {{clean}}
+lateral view explode(array(reverse(trim(trailing ' \t\n\r\u000b\u000c' from clean)))) as back
 lateral view explode(array(reverse(regexp_extract(back, '^[^\\p{{L}}\\p{{N}}]*+((?:[^.!?\\n\\p{{L}}\\p{{N}}]*+(?:[\\p{{L}}\\p{{N}}]++(?:[\\x27’-][\\p{{L}}\\p{{N}}]++)*+|[.!?\\n])){{1,6}})', 1)))) as tail
 lateral view explode(array(regexp_extract_all(lower(tail), '{_TOKEN}', 0))) as t
 where (back rlike '{_DOTS}' or not back rlike '{_ENDED}') and size(t) > 0 and get(t, size(t) - 1) not in {_MARKS}
