@@ -51,6 +51,8 @@ def test_shares_break_ties_alone():
     assert shape.decide(m, np.array([list(row.values())])) == ["list"]
     m.weights = np.array([0.95, 0.05])
     assert shape.decide(m, np.array([list(row.values())])) == ["prose"]
+    m.pure = np.array([False, True])  # a component of several shapes stands for no kind
+    assert shape.decide(m, np.array([list(row.values())])) == ["list"]
 
 
 def test_em_sums_do_not_depend_on_partitions(spark):

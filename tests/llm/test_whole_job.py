@@ -9,7 +9,7 @@ from textquarry.llm import encoding, language, leaks, queries, shape, truncation
 def test_shapes_follow_the_mixture(spark, monkeypatch):
     class AllLists(shape.Mixture):
         def __init__(self):
-            self.kinds = ["list"]
+            self.kinds, self.pure = ["list"], np.array([True])
 
         def responsibilities(self, x):
             return np.ones((len(x), 1)), np.zeros(len(x))

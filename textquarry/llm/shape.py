@@ -3,7 +3,8 @@
 Method: a Gaussian mixture is fitted by expectation-maximization on the standardized statistics of all documents
 (each iteration is one distributed pass that sums sufficient statistics), and its components are mapped to the
 four kinds by inspected examples. A document is of the kind that its components make most probable; only where that
-probability stays below SURE its own word shares break the tie.
+probability stays below SURE, or where the component holds documents of several shapes (PURE), its own word shares break
+the tie.
 """
 
 from __future__ import annotations
@@ -207,6 +208,9 @@ KINDS = ("prose", "list", "table", "junk")
 LEAST_VARIANCE = 0.02
 #: Probability of a kind below which the mixture is unsure and the document's own word shares break the tie.
 SURE = 0.9
+#: Share of words that some kind must have in the mean of a component; a component below that holds documents of several
+#: shapes, stands for no kind, and leaves its documents to their own shares.
+PURE = 0.7
 
 #: Inspected examples, two or three groups for each kind; a group starts one component and names its kind.
 EXAMPLES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -238,6 +242,7 @@ class Mixture:
 
     def __init__(self, centre: np.ndarray, scale: np.ndarray, weights: np.ndarray, means: np.ndarray, variances: np.ndarray, kinds: list[str]):
         self.centre, self.scale, self.weights, self.means, self.variances, self.kinds = centre, scale, weights, means, variances, kinds
+        self.pure = np.ones(len(kinds), dtype=bool)
 
     def responsibilities(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(component probabilities of each row, log likelihood of each row); x holds raw statistics."""
@@ -318,6 +323,7 @@ def fit_mixture(stats: DataFrame, max_iterations: int = 12, tolerance: float = 1
     for (kind, _), rows in zip(EXAMPLES, x, strict=True):
         votes[:, KINDS.index(kind)] += m.responsibilities(rows)[0].sum(0)
     m.kinds = [KINDS[int(v.argmax())] if v.sum() > 0.2 else old for v, old in zip(votes, m.kinds, strict=True)]
+    m.pure = (m.means * m.scale + m.centre)[:, [USED.index(f"{x}_share") for x in ("prose", "list", "table", "odd")]].max(1) >= PURE
     return m
 
 
@@ -329,8 +335,8 @@ def most_words(s: tuple[float, ...]) -> str:
 
 
 def decide(model: Mixture, x: np.ndarray) -> list[str]:
-    """The kind of each row of STATS: the most probable one, probabilities of components of one kind being added."""
-    by = model.responsibilities(x[:, 1:])[0] @ np.array([[float(kind == k) for k in KINDS] for kind in model.kinds])
+    """The kind of each row of STATS: the most probable one, probabilities of pure components of one kind being added."""
+    by = model.responsibilities(x[:, 1:])[0] @ np.array([[float(kind == k and pure) for k in KINDS] for kind, pure in zip(model.kinds, model.pure, strict=True)])
     return [KINDS[j] if p >= SURE else most_words(tuple(row)) for j, p, row in zip(by.argmax(1), by.max(1), x, strict=True)]
 
 
